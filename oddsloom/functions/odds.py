@@ -9,6 +9,11 @@ PROBABILITY_FLOOR = 0.01
 PROBABILITY_CEILING = 0.99
 
 
+def round6(value: Column) -> Column:
+    """Round to six places; values within 1e-12 of a half go up, whatever their binary form."""
+    return F.round(value + 1e-12, 6)
+
+
 def clamp(value: Column, low: float | Column, high: float | Column) -> Column:
     """Keep ``value`` inside [low, high]; null stays null."""
     low_col = low if isinstance(low, Column) else F.lit(float(low))
@@ -59,12 +64,12 @@ def expected_value(probability: Column, price: Column) -> Column:
 
 
 def rounded_ev(probability: Column, price: Column) -> Column:
-    return F.round(expected_value(probability, price), 6)
+    return round6(expected_value(probability, price))
 
 
 def kelly_fraction(probability: Column, price: Column) -> Column:
     payout = decimal_odds(price)
-    return F.when(payout > 1, F.round(expected_value(probability, price) / (payout - 1.0), 6))
+    return F.when(payout > 1, round6(expected_value(probability, price) / (payout - 1.0)))
 
 
 def play_to_decimal(probability: Column, target_roi: float | Column) -> Column:

@@ -161,7 +161,7 @@ def _with_minutes_delta(df: DataFrame) -> DataFrame:
         {
             "minutes_band": F.when(
                 F.col("minutes_p90") >= F.col("minutes_p10"),
-                F.round(F.col("minutes_p90") - F.col("minutes_p10"), 6),
+                odds.round6(F.col("minutes_p90") - F.col("minutes_p10")),
             ),
             "minutes_prob_delta_over": F.coalesce(shift, F.lit(0.0)),
         }

@@ -85,9 +85,9 @@ def prior_adjustments(windowed: DataFrame, settings: PriorSettings = PriorSettin
     return summed.select(
         "as_of", "strategy_id", "market", "side", "sample_size", "wins",
         (F.col("sample_size") - F.col("wins")).alias("losses"),
-        F.round(F.col("wins") / F.col("sample_size"), 6).alias("hit_rate"),
-        F.round(posterior, 6).alias("posterior_hit_rate"),
-        F.round(odds.clamp((posterior - 0.5) * coverage, -bound, bound), 6).alias("delta"),
+        odds.round6(F.col("wins") / F.col("sample_size")).alias("hit_rate"),
+        odds.round6(posterior).alias("posterior_hit_rate"),
+        odds.round6(odds.clamp((posterior - 0.5) * coverage, -bound, bound)).alias("delta"),
     )
 
 
@@ -96,12 +96,12 @@ def _bin_columns(size: float) -> list[Column]:
     hit_rate = F.col("wins") / F.col("n")
     return [
         F.col("bin").alias("bucket_index"),
-        F.round(odds.bin_low(F.col("bin"), size), 6).alias("bucket_low"),
-        F.round(odds.bin_high(F.col("bin"), size), 6).alias("bucket_high"),
+        odds.round6(odds.bin_low(F.col("bin"), size)).alias("bucket_low"),
+        odds.round6(odds.bin_high(F.col("bin"), size)).alias("bucket_high"),
         F.col("n").alias("count"),
-        F.round(avg_p, 6).alias("avg_model_p"),
-        F.round(hit_rate, 6).alias("hit_rate"),
-        F.round(hit_rate - avg_p, 6).alias("delta"),
+        odds.round6(avg_p).alias("avg_model_p"),
+        odds.round6(hit_rate).alias("hit_rate"),
+        odds.round6(hit_rate - avg_p).alias("delta"),
     ]
 
 
@@ -182,21 +182,21 @@ def feedback(p: Column, settings: PriorSettings = PriorSettings()) -> Column:
     return F.struct(
         F.when(
             valid.isNotNull(),
-            F.round(F.when(untouched, clamped).otherwise(odds.clamp_probability(clamped + delta)), 6),
+            odds.round6(F.when(untouched, clamped).otherwise(odds.clamp_probability(clamped + delta))),
         ).alias("p_calibrated"),
         F.when(
-            valid.isNotNull(), F.when(untouched, F.lit(0.0)).otherwise(F.round(delta, 6))
+            valid.isNotNull(), F.when(untouched, F.lit(0.0)).otherwise(odds.round6(delta))
         ).alias("delta"),
         source.alias("source"),
         F.when(valid.isNull(), F.lit(0)).otherwise(count).cast("long").alias("sample_size"),
         F.when(valid.isNull() | untouched, F.lit(0.0))
-        .otherwise(F.round(coverage * weight, 6))
+        .otherwise(odds.round6(coverage * weight))
         .alias("confidence"),
         F.when(valid.isNotNull(), index).alias("bucket_index"),
-        F.when(untouched, F.round(odds.bin_low(index, size), 6))
+        F.when(untouched, odds.round6(odds.bin_low(index, size)))
         .otherwise(bucket["bucket_low"])
         .alias("bucket_low"),
-        F.when(untouched, F.round(odds.bin_high(index, size), 6))
+        F.when(untouched, odds.round6(odds.bin_high(index, size)))
         .otherwise(bucket["bucket_high"])
         .alias("bucket_high"),
     )
@@ -220,11 +220,11 @@ def with_profiles(df: DataFrame, side: DataFrame, wide: DataFrame) -> DataFrame:
 
 def _map_columns(size: float) -> list[Column]:
     return [
-        F.round(F.col("bin") * F.lit(size), 6).alias("low"),
-        F.round(F.least(F.lit(1.0), F.col("bin") * F.lit(size) + F.lit(size)), 6).alias("high"),
+        odds.round6(F.col("bin") * F.lit(size)).alias("low"),
+        odds.round6(F.least(F.lit(1.0), F.col("bin") * F.lit(size) + F.lit(size))).alias("high"),
         F.col("n").alias("count"),
-        F.round(F.col("p_sum") / F.col("n"), 6).alias("avg_p"),
-        F.round(F.col("wins") / F.col("n"), 6).alias("hit_rate"),
+        odds.round6(F.col("p_sum") / F.col("n")).alias("avg_p"),
+        odds.round6(F.col("wins") / F.col("n")).alias("hit_rate"),
     ]
 
 
@@ -308,10 +308,10 @@ def annotate(rows: DataFrame, bins: DataFrame, day_column: str | None = "day", m
     )
     joined = rows.withColumn("p_conservative", conservative_probability(rows)).join(folded, keys, "left")
     found = joined.withColumn("hit_bin", F.when(p.isNotNull(), hit))
-    calibrated = F.round(odds.clamp(F.col("hit_bin.hit_rate"), 0.0, 1.0), 6)
+    calibrated = odds.round6(odds.clamp(F.col("hit_bin.hit_rate"), 0.0, 1.0))
     return found.withColumns(
         {
-            "p_conservative": F.round(p, 6),
+            "p_conservative": odds.round6(p),
             "p_calibrated": calibrated,
             "calibration_bin_low": F.col("hit_bin.low"),
             "calibration_bin_high": F.col("hit_bin.high"),

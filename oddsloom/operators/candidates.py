@@ -136,15 +136,15 @@ def _with_model(df: DataFrame, scenario, prefix: str) -> DataFrame:
     p, band = F.col(f"{prefix}p_over_model"), scenario("uncertainty_band")
     step = step.withColumns(
         {
-            f"{prefix}p_over_low": F.round(odds.clamp_probability(p - band), 6),
-            f"{prefix}p_over_high": F.round(odds.clamp_probability(p + band), 6),
+            f"{prefix}p_over_low": odds.round6(odds.clamp_probability(p - band)),
+            f"{prefix}p_over_high": odds.round6(odds.clamp_probability(p + band)),
         }
     )
     low, high = F.col(f"{prefix}p_over_low"), F.col(f"{prefix}p_over_high")
     return step.withColumns(
         {
-            f"{prefix}p_under_low": F.round(odds.clamp_probability(1.0 - high), 6),
-            f"{prefix}p_under_high": F.round(odds.clamp_probability(1.0 - low), 6),
+            f"{prefix}p_under_low": odds.round6(odds.clamp_probability(1.0 - high)),
+            f"{prefix}p_under_high": odds.round6(odds.clamp_probability(1.0 - low)),
         }
     )
 
@@ -407,13 +407,13 @@ def gated(df: DataFrame, min_ev: float = 0.01, allow_tier_b: bool = False) -> Da
             "pre_bet_ready": states.pre_bet_ready(injury, roster),
             "pre_bet_reason": states.pre_bet_reason(injury, roster),
             "target_roi": target,
-            "play_to_decimal": F.round(odds.play_to_decimal(p, target), 6),
+            "play_to_decimal": odds.round6(odds.play_to_decimal(p, target)),
             "play_to_american": odds.american_odds(odds.play_to_decimal(p, target)),
-            "breakeven_decimal": F.round(odds.play_to_decimal(p, 0.0), 6),
+            "breakeven_decimal": odds.round6(odds.play_to_decimal(p, 0.0)),
             "breakeven_american": odds.american_odds(odds.play_to_decimal(p, 0.0)),
-            "fair_american": odds.american_odds(F.round(F.lit(1.0) / p, 6)),
+            "fair_american": odds.american_odds(odds.round6(F.lit(1.0) / p)),
             "edge_pct": F.round(F.col("best_ev") * 100.0, 3),
-            "quarter_kelly": F.round(F.col("best_kelly") / 4.0, 6),
+            "quarter_kelly": odds.round6(F.col("best_kelly") / 4.0),
         }
     )
     score = (
@@ -427,8 +427,8 @@ def gated(df: DataFrame, min_ev: float = 0.01, allow_tier_b: bool = False) -> Da
     ) else F.lit(0.0)
     return staged.withColumns(
         {
-            "score_base": F.round(score, 6),
-            "score": F.round(score + prior * SCORE_PRIOR_WEIGHT, 6),
+            "score_base": odds.round6(score),
+            "score": odds.round6(score + prior * SCORE_PRIOR_WEIGHT),
         }
     )
 

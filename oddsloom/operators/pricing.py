@@ -168,7 +168,7 @@ def quality_columns(
     ordered = F.array_sort(F.transform(pairs, lambda b: b["p_over_fair"]))
     holds = F.array_sort(F.transform(pairs, lambda b: b["hold"]))
     age = odds.clamp(
-        F.round(odds.clamp(_age_minutes(), 0.0, 1e12), 6), 0.0, 1e12
+        odds.round6(odds.clamp(_age_minutes(), 0.0, 1e12)), 0.0, 1e12
     )
     step1 = df.withColumns(
         {
@@ -212,14 +212,11 @@ def quality_columns(
     )
     return step3.withColumns(
         {
-            f"quality_score{suffix}": F.round(
+            f"quality_score{suffix}": odds.round6(
                 col("depth_score") * 0.30 + col("hold_score") * 0.25
-                + col("dispersion_score") * 0.25 + col("freshness_score") * 0.20,
-                6,
-            ),
-            f"uncertainty_band{suffix}": F.round(
-                odds.clamp(F.greatest(shortfall, col("p_over_iqr") / 2.0), 0.01, 0.2), 6
-            ),
+                + col("dispersion_score") * 0.25 + col("freshness_score") * 0.20),
+            f"uncertainty_band{suffix}": odds.round6(
+                odds.clamp(F.greatest(shortfall, col("p_over_iqr") / 2.0), 0.01, 0.2)),
         }
     )
 

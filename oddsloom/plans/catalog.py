@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from oddsloom.functions import odds
 from oddsloom.plans import bindings as b
 from oddsloom.plans import oracles, strategy
 from oddsloom.session import apply_engine_conf, materialize
@@ -41,7 +42,7 @@ def shaped(df: DataFrame, columns: str) -> DataFrame:
         kind = df.schema[name].dataType
         col = F.col(name)
         if isinstance(kind, T.DoubleType):
-            col = F.round(col, 6)
+            col = odds.round6(col)
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(kind, T.DateType):

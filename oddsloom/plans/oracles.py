@@ -538,9 +538,14 @@ def query(final: str) -> str:
 
     visit(final, ())
     if not order:
-        return final
+        return _doubles(final)
     # A CTE used by several others is computed once.
     body = ",\n".join(f"{name} as materialized ({CTES[name]})" for name in order)
     word = "with recursive" if "o_greedy" in order else "with"
     body = body.replace("o_greedy as materialized", "o_greedy as")
-    return f"{word} {body}\n{final}"
+    return _doubles(f"{word} {body}\n{final}")
+
+
+def _doubles(sql: str) -> str:
+    """Decimal literals as doubles, and the same rounding of halves as the Spark side."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql).replace(", 6)", " + 1e-12, 6)")
