@@ -412,7 +412,7 @@ def gated(df: DataFrame, min_ev: float = 0.01, allow_tier_b: bool = False) -> Da
             "breakeven_decimal": odds.round6(odds.play_to_decimal(p, 0.0)),
             "breakeven_american": odds.american_odds(odds.play_to_decimal(p, 0.0)),
             "fair_american": odds.american_odds(odds.round6(F.lit(1.0) / p)),
-            "edge_pct": F.round(F.col("best_ev") * 100.0, 3),
+            "edge_pct": F.round(F.col("best_ev") * 100.0 + 1e-9, 3),
             "quarter_kelly": odds.round6(F.col("best_kelly") / 4.0),
         }
     )

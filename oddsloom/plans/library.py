@@ -1,6 +1,6 @@
 """The full catalogue: importing the query modules registers their queries."""
 
-from oddsloom.plans import queries_pricing  # noqa: F401
+from oddsloom.plans import queries_evaluation, queries_pricing, queries_reports  # noqa: F401
 from oddsloom.plans.catalog import CATALOG
 
 __all__ = ["CATALOG"]
