@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.functions import clocks
-from oddsloom.operators import calibration, evaluation, settlement
+from oddsloom.functions import clocks, odds
+from oddsloom.operators import calibration, evaluation, portfolio, settlement
 from oddsloom.plans import bindings as b
 from oddsloom.plans.catalog import candidates_stage, r6, register
 from oddsloom.plans.oracles import CTES, decimal, feedback_ctes
@@ -310,7 +310,7 @@ select distinct r.*, regexp_replace(lower(trim(player)), '[^a-z0-9]+', '', 'g')
   regexp_extract(regexp_replace(lower(player), '( jr\\.)$', ''), '([a-z0-9]+)$', 1) as last_word, substr(lower(player), 1, 1) as initial
 from fx_results r"""
 CTES["o_set0"] = """
-select s.snapshot_id, s.strategy_id, s.event_id, s.market, s.player, s.point, s.recommended_side, g.game_id,
+select s.snapshot_id, s.strategy_id, s.event_id, s.market, s.player, s.point, s.recommended_side, s.portfolio_rank, g.game_id,
   r.game_status, regexp_replace(lower(s.player), '[^a-z0-9]+', '', 'g') as key, regexp_extract(lower(s.player), '([a-z0-9]+)$', 1) as last_word
 from o_seeds s join fx_context c on c.snapshot_id = s.snapshot_id and c.event_id = s.event_id
 left join o_games g on g.snapshot_id = c.snapshot_id and g.home_team = c.home_team and g.away_team = c.away_team
@@ -336,8 +336,6 @@ SETTLED_RESULT = (
 
 
 def _settled(spark, sf):
-    from oddsloom.operators import portfolio
-
     context = b.event_context(spark, sf)
     results = b.results(spark, sf)
     picks = portfolio.select_portfolio(candidates_stage(spark, sf)).where("portfolio_selected")
@@ -391,3 +389,33 @@ def ticket_seeds(spark, sf):
 )
 def seed_summary(spark, sf):
     return settlement.seed_summary(candidates_stage(spark, sf).where("eligible"))
+
+
+@register(
+    "ablation_scoreboard",
+    "cap strategy_id tickets wins losses pushes total_pnl_units roi",
+    "select cap, strategy_id, count(*) as tickets, count(*) filter (r = 'win') as wins, count(*) filter (r = 'loss') as losses, count(*) filter (r = 'push') as pushes, "
+    "round(coalesce(sum(pnl), 0.0), 6) as total_pnl_units, round(sum(pnl) / count(pnl), 6) as roi from (select c.cap, s.strategy_id, s.r, case s.r when 'win' then "
+    f"{decimal('s.price')} - 1.0 when 'loss' then -1.0 when 'push' then 0.0 end as pnl from (select o.*, {SETTLED_RESULT} as r, c.price from o_set o "
+    "join o_cand c using (snapshot_id, strategy_id, event_id, market, player, point)) s join (values (1), (2), (5)) c(cap) on s.portfolio_rank <= c.cap) group by 1, 2",
+)
+def ablation_scoreboard(spark, sf):
+    """Days, strategies and pick caps in one job.
+
+    The picks under a smaller daily cap are the first picks under a larger one, so selection
+    and settlement run once and every ticket fans out to the caps it survives.
+    """
+    settled = _settled(spark, sf)
+    capped = settled.withColumn("cap", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5)))).where(
+        F.col("portfolio_rank") <= F.col("cap")
+    )
+    graded = F.col("result").isin("win", "loss", "push")
+    pnl = F.when(graded, odds.pnl_units(F.col("result"), F.col("selected_price"), F.lit(1.0)))
+    return capped.withColumn("pnl", pnl).groupBy("cap", "strategy_id").agg(
+        F.count(F.lit(1)).alias("tickets"),
+        F.count_if(F.col("result") == "win").alias("wins"),
+        F.count_if(F.col("result") == "loss").alias("losses"),
+        F.count_if(F.col("result") == "push").alias("pushes"),
+        F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("total_pnl_units"),
+        F.avg("pnl").alias("roi"),
+    )

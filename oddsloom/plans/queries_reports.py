@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.operators import execution, minutes, portfolio, views
+from oddsloom.operators import execution, minutes, minutes_model, portfolio, pricing, views
 from oddsloom.plans import bindings as b
 from oddsloom.plans.catalog import candidates_stage, r6, register, stage
 from oddsloom.plans.oracles import CTES, american, clamp, decimal, ev
@@ -270,16 +270,13 @@ where d.eligible and d.pre_bet_ready"""
 
 
 def _discovery(spark, sf):
-    from oddsloom.operators import pricing
-
     found = candidates_stage(spark, sf)
     offered = pricing.priced_lines(b.quotes(spark, sf).where(F.col("book").isin(*BOOKS))).select(
         *pricing.LINE,
         (-F.col("over_best.cost")).alias("over_price"), F.col("over_best.book").alias("over_book"),
         (-F.col("under_best.cost")).alias("under_price"), F.col("under_best.book").alias("under_book"),
     )
-    strategies = found.select("strategy_id").distinct()
-    return execution.discovery_matches(found, offered.join(F.broadcast(strategies)))
+    return execution.discovery_matches(found, offered)
 
 
 @register(
@@ -406,3 +403,28 @@ def clean_verify(spark, sf):
     events = b.actions(spark, sf).withColumnRenamed("action_number", "event_num")
     runs = minutes.possessions(b.actions(spark, sf))
     return minutes.verify_report(games, box, events, runs)
+
+
+def _model(spark, sf):
+    frame = stage(
+        spark, sf, "minutes_features",
+        lambda: minutes.with_eval_flag(minutes.feature_frame(b.boxscore(spark, sf)), 7),
+    )
+    # Fewer boosting rounds than the library default keep the check short.
+    settings = minutes_model.ModelSettings(classifier_rounds=10)
+    model = minutes_model.train(frame.where(~F.col("is_eval")), settings)
+    return minutes_model.predict(model, frame.where("is_eval"), ("player_points", "player_rebounds"))
+
+
+@register(
+    "minutes_predictions",
+    "event_id snapshot_date player_id team_id market minutes_p10 minutes_p50 minutes_p90 p_active confidence_score data_quality_flags actual_minutes",
+    None,
+)
+def minutes_predictions(spark, sf):
+    return _model(spark, sf)
+
+
+@register("minutes_model_evaluation", "new_team_phase rows mae rmse bias coverage brier_active confidence_score", None)
+def minutes_model_evaluation(spark, sf):
+    return minutes.evaluate_predictions(_model(spark, sf))
