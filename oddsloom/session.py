@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,6 @@ ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # collect_list/percentile states here are a few dozen values per key, so the hash
-    # form is kept for many more keys per task than the default 128.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # The JVM leaves methods above 8000 bytes uncompiled; wide projections then run better
     # as split per-operator code than as one huge fused method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -49,21 +47,39 @@ def local_session(cores: int | str = "*", app: str = "oddsloom", **extra: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the cluster names in ``spark.checkpoint.dir``; a local one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    """Folder the cluster names in ``spark.checkpoint.dir``.
+
+    Unset, a temporary folder serves a session that runs in this one process (``local[...]``); on a
+    cluster, where executors would each write to a disk of their own, that is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
     if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="oddsloom-stages-")
+        _LOCAL_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="oddsloom-stages-")
     return _LOCAL_FOLDERS[app]
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/oddsloom/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stage that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a stage once as Parquet in the shared folder and continue from the files.
 
@@ -71,6 +87,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     stay small and prune columns from the files, and a lost executor costs no recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/oddsloom/{label}-{uuid.uuid4().hex}"
+    path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
