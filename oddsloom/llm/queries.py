@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oddsloom.llm import quality, sharding
-from oddsloom.session import apply_engine_conf
+from oddsloom.llm import chat, jaccard, langid, mtree, packing, quality, sharding, token_files
+from oddsloom.session import apply_engine_conf, stage_path
 
 Build = Callable[[SparkSession, str], DataFrame]
 LLM_CATALOG: dict[str, tuple[Build, str | None]] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Puts this repository on the import path of Python workers (a cluster may ship it otherwise)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p and p != root]
+    env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def register(name: str, sql: str | None = None):
     def wrap(build: Build) -> Build:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
             return build(apply_engine_conf(spark), sf_dir)
 
         LLM_CATALOG[name] = (run, sql)
@@ -45,3 +57,57 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.HashTree.even(4, 2, 5))
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stage_path(spark, "token-files")
+    files = token_files.write(table(spark, sf_dir, "documents"), folder, byte_bpe())
+    return token_files.read(spark, folder, files)
+
+
+@register("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs.select("doc_id", "text"), docs).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@register("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@register("op6_preference_pairs", chat.QUERY_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.preference_pairs(chat.with_borrowed_replies(convs)).select(
+        "conv_id",
+        "n_common",
+        "prompt",
+        chat.rendered(F.col("chosen_segments")).alias("chosen"),
+        chat.rendered(F.col("rejected_segments")).alias("rejected"),
+        chat.mask(F.col("chosen_segments")).alias("chosen_mask"),
+        chat.mask(F.col("rejected_segments")).alias("rejected_mask"),
+        "usable",
+    )
+
+
+@register("op7_exact_top_k", mtree.QUERY_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", mtree.quantized(F.col("embedding")).alias("vector")
+    )
+    return mtree.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@register("op3_ngram_jaccard")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
