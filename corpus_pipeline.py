@@ -1,5 +1,75 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes what its predecessor kept, written as Parquet. Every stage but the last returns the columns
+of ``documents``.
+
+Defined cases: those of the operators. A row with a null id stays in the near-duplicate stage (it cannot be
+named as a copy); of equal rows one stays; an empty table passes through all stages.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oddsloom.llm import jaccard, langid, packing, quality
+from oddsloom.llm.queries import importable
+from oddsloom.session import apply_engine_conf, materialize
+
+#: Ids up to this number are sent to all tasks (some 40 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rejected documents and, in the others, the lines that fail."""
+    kept = quality.quality_rules(docs).filter("kept")
+    cleaned = kept.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")})
+    return cleaned.select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a clear language; a missing language is filled in."""
+    found = langid.identify(docs, docs).filter(langid.accepted())
+    return found.withColumns({"lang": F.coalesce("lang", "lang_pred")}).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of five-word shingles at 0.8 or more."""
+    classes = materialize(jaccard.similarity_classes(docs), "classes-of-documents")
+
+    def ids(found: DataFrame) -> DataFrame:
+        found = materialize(found, "document-ids")
+        return F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+
+    copies = ids(classes.filter("doc_id != component_id").select("doc_id").distinct())
+    kept = docs.join(copies, "doc_id", "left_anti")
+    again = ids(classes.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language id", language_id),
+    ("near duplicates", near_duplicates),
+    ("best-fit packing", best_fit_packing),
+]
+
+# Language identification and tokens are not expressible in SQL; tests hold it against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from ``documents``."""
+    apply_engine_conf(spark)
+    importable(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

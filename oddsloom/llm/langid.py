@@ -1,10 +1,11 @@
 """Language identification by compression.
 
 For each language a zstandard dictionary is made of raw text of that language (no training of entropy
-tables). A text is compressed with each dictionary, in chunks, so that the dictionary and not the
-text's own past does the work; the language whose total is smallest wins. The margin is the gap between
-the smallest and the next size, relative to the next; a text with a narrow margin, or without any letter, is
-rejected.
+tables). Texts are reduced to lower-case words of letters and compressed with each dictionary, in chunks,
+so that the dictionary and not the text's own past does the work; the language whose total is smallest
+wins. Where sizes are close, the text is compressed again at a level that also finds short matches. The
+margin is the gap between the smallest and the next size, relative to the next; a text with a narrow margin,
+or without any letter, is rejected.
 
 Fitting reads a bounded sample: for each language the ``sample_docs`` rows with the smallest hash, of which
 whole texts are taken while they fit in ``dictionary_bytes``. Bounds are parameters; languages are labels,
@@ -17,6 +18,7 @@ score 1; repeated rows get equal answers; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +30,22 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 
 
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def letters_only(text: str) -> str:
+    """Lower-case words of letters, one space between them."""
+    return _BETWEEN.sub(" ", text.lower()).strip()
+
+
 @dataclass(frozen=True)
 class Compression:
-    sample_docs: int = 96
-    dictionary_bytes: int = 96 * 1024
+    sample_docs: int = 192
+    dictionary_bytes: int = 192 * 1024
     chunk_bytes: int = 2048
     level: int = 3
+    close: float = 0.02
+    close_level: int = 19
 
 
 def fit(
@@ -61,7 +73,7 @@ def fit(
     small = picked.filter(F.octet_length("text") <= how.dictionary_bytes)
     found: dict[str, bytes] = {}
     for row in small.orderBy("lang", "rank", "text").toLocalIterator():
-        body = row["text"].encode()
+        body = letters_only(row["text"]).encode()
         held = found.get(row["lang"], b"")
         if len(held) + len(body) < how.dictionary_bytes:
             found[row["lang"]] = held + body + b"\n"
@@ -88,26 +100,36 @@ def predict(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
         import zstandard
 
-        letter = regex.compile(r"\p{L}")
-        coders = []
-        for data in raw:
-            made = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.precompute_compress(level=how.level)
+
+        def coders(level: int) -> list:
             options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-            coders.append(zstandard.ZstdCompressor(level=how.level, dict_data=made, **options).compress)
+            out = []
+            for data in raw:
+                made = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                made.precompute_compress(level=level)
+                out.append(zstandard.ZstdCompressor(level=level, dict_data=made, **options).compress)
+            return out
+
+        quick, careful = coders(how.level), coders(how.close_level)
+
+        def measured(chunks: list, with_: list) -> tuple[int, float]:
+            sizes = [sum(len(code(c)) for c in chunks) for code in with_]
+            best = min(range(len(sizes)), key=sizes.__getitem__)
+            others = sizes[:best] + sizes[best + 1 :]
+            return best, (1 - sizes[best] / min(others)) if others else 1.0
 
         def judge(body: str | None) -> tuple[str, float]:
-            if body is None or not names or not letter.search(body):
+            body = letters_only(body or "")
+            if not body or not names:
                 return UNKNOWN, 0.0
             data = memoryview(body.encode())
             chunks = [data[at : at + how.chunk_bytes] for at in range(0, len(data), how.chunk_bytes)]
-            sizes = [sum(len(code(c)) for c in chunks) for code in coders]
-            best = min(range(len(sizes)), key=sizes.__getitem__)
-            others = sizes[:best] + sizes[best + 1 :]
-            return names[best], (1 - sizes[best] / min(others)) if others else 1.0
+            best, margin = measured(chunks, quick)
+            if margin < how.close:
+                best, margin = measured(chunks, careful)
+            return names[best], margin
 
         at = kept.index(text)
         for batch in batches:
@@ -141,6 +163,6 @@ def identify(
     return predict(docs, fit(labelled.filter(~held_out(F.col(doc_id))), doc_id, text, lang, how), text, how)
 
 
-def accepted(margin: float = 0.005) -> Column:
+def accepted(margin: float = 0.003) -> Column:
     """The rejection rule: a language was found, by more than ``margin``."""
     return (F.col("lang_pred") != UNKNOWN) & (F.col("score") > margin)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.llm import chat, jaccard, langid, mtree, packing, quality, sharding, token_files
+from oddsloom.llm import chat, jaccard, langid, licenses, mtree, nbest, packing, quality, sharding, token_files
 from oddsloom.session import apply_engine_conf, stage_path
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_ngram_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@register("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op10_nbest_segmentation")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return nbest.segment(table(spark, sf_dir, "documents"), model)
