@@ -6,13 +6,15 @@ Exact: two sets link if ``100 * intersection >= percent * union``; a class is wh
 2. *Prefix test.* With ``t = ceil(percent * n / 100)``, a set that links shares at least ``t`` of its n
    shingles. So of its n - t + l smallest hashes, l or more stand also among the smallest hashes of its partner.
    A set with too few prefix shingles that occur in any other set cannot link. Only sets that pass go on.
-3. *Groups.* Sets of like size and equal smallest shingle form a group of at most ``group_size`` (larger ones
-   are dealt by hash). Within a group all links are found by one matrix product.
+3. *Groups.* The same test on all shingles leaves the sets of which ``t`` shingles occur elsewhere. Those of like
+   size whose smallest such shingle is equal form a group of at most ``group_size`` (larger ones are dealt by
+   hash). Within a group all links are found by one matrix product.
 4. *Matrix.* The token union of each group gives rows (token, group). A set looks for groups with smaller
    number. It needs ``t`` of its shingles in the group's union, so it has to probe only its ``n - t + 1``
-   rarest shingles, and those that no smaller group has are spent without a probe.
-5. *Bound and open.* For each group that a probe hits, the overlap with the union bounds the
-   intersection with any member; only groups that reach ``t`` are opened and compared member by member.
+   rarest shingles, and those that no smaller group has are spent without a probe. The members' probes are
+   put together, so a token meets groups, not sets.
+5. *Bound and open.* For groups that a probe joins, each set's overlap with the other group's union bounds its
+   intersection with any member; only where it reaches ``t`` the group is opened and compared member by member.
 6. *Classes.* Links, at most one for each set and connected part of a group, are joined to components.
 
 No pair of copies is formed, and no pair inside a group leaves its task. A hot token costs rows only for
@@ -112,7 +114,7 @@ def _may_link(signed: DataFrame, percent: int) -> DataFrame:
 def _survivor_tokens(
     docs: DataFrame, passed: DataFrame, words: int, percent: int, doc_id: str, text: str
 ) -> DataFrame:
-    """node, n, size class, smallest token and all tokens of the sets in ``passed``."""
+    """node, n, size class and all tokens of the sets in ``passed``."""
     step = math.log(100 / percent) if percent < 100 else math.log(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +133,9 @@ def _survivor_tokens(
                         rows.column(0).take(pa.array(keep, pa.int64())),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([int(math.log(len(s)) / step + 1e-9) for s in sets], pa.int32()),
-                        pa.array([int(s[:1].view(np.int64)[0]) for s in sets], pa.int64()),
                         pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    ["node", "n", "class", "least", "tokens"],
+                    ["node", "n", "class", "tokens"],
                 )
 
     ids = passed.select(F.col("node").alias("__node"), "f1")
@@ -142,7 +143,39 @@ def _survivor_tokens(
         ids = F.broadcast(ids)
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
     found = texts.join(ids, F.col("__id") == F.col("__node")).select("__id", "f1", "__text")
-    return found.mapInArrow(run, "node long, n int, class int, least long, tokens binary")
+    return found.mapInArrow(run, "node long, n int, class int, tokens binary")
+
+
+def _exploded(frame: DataFrame, keys: str, tokens: int) -> DataFrame:
+    """A row for each token of column ``tokens`` (binary, or an array of members), after the key columns."""
+    names = [k.split()[0] for k in keys.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held = batch.column(tokens)[row]
+                if isinstance(held, pa.ListScalar):
+                    parts = [np.frombuffer(m["tokens"].as_py(), np.int64) for m in held]
+                    found = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+                else:
+                    found = np.frombuffer(held.as_py(), np.int64)
+                columns = [pa.repeat(batch.column(k)[row], len(found)) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], [*names, "token"])
+
+    return frame.mapInArrow(run, f"{keys}, token long")
+
+
+def _with_partners(survivors: DataFrame, percent: int) -> DataFrame:
+    """Survivors with enough shingles that occur elsewhere, and the smallest such shingle (``least``)."""
+    of_token = Window.partitionBy("token")
+    shared = (
+        _exploded(survivors.select("node", "tokens"), "node long", 1)
+        .withColumns({"first": F.min("node").over(of_token), "last": F.max("node").over(of_token)})
+        .filter("first != last")
+        .groupBy("node")
+        .agg(F.min("token").alias("least"), F.count(F.lit(1)).alias("shared"))
+    )
+    return survivors.join(shared, "node").filter(f"100 * shared >= {percent} * n").drop("shared")
 
 
 def sorted_runs(
@@ -266,21 +299,7 @@ def _matrix(groups: DataFrame) -> DataFrame:
     ``lo`` is the smallest group with the token, ``df`` the number of groups with it.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                parts = [np.frombuffer(m["tokens"].as_py(), np.uint64) for m in batch.column(2)[row]]
-                union = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(union), batch.column(0)[row].as_py(), np.int64)),
-                        pa.array(np.full(len(union), batch.column(1)[row].as_py(), np.int32)),
-                        pa.array(union.view(np.int64)),
-                    ],
-                    ["gid", "class", "token"],
-                )
-
-    rows = groups.mapInArrow(run, "gid long, class int, token long")
+    rows = _exploded(groups, "gid long, class int", 2)
     of_token = Window.partitionBy("token")
     return rows.withColumns(
         {"lo": F.min("gid").over(of_token), "df": F.count(F.lit(1)).over(of_token)}
@@ -288,17 +307,17 @@ def _matrix(groups: DataFrame) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """target, gid, nodes: sets of group ``gid`` whose probes hit group ``target``."""
+    """target, gid: pairs of groups, ``target`` the smaller, that a probe of a member of ``gid`` joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             for row in range(batch.num_rows):
                 shared = batch.column(3)[row].values
                 token = shared.field("token").to_numpy().view(np.uint64)
                 df = shared.field("df").to_numpy()
                 order = np.argsort(token)
                 token, df = token[order], df[order]
+                wanted = np.zeros(len(token), bool)
                 for member in batch.column(2)[row]:
                     mine = np.frombuffer(member["tokens"].as_py(), np.uint64)
                     at = np.searchsorted(token, mine)
@@ -308,15 +327,16 @@ def _candidates(groups: DataFrame, matrix: DataFrame, percent: int) -> DataFrame
                     # Probes that the bound asks for, less those spent on tokens no smaller group has.
                     probes = n - _least_overlap(n, percent) + 1 - (n - len(at))
                     if probes > 0:
-                        rare = at[np.lexsort((token[at], df[at]))[:probes]]
-                        out[0].extend(token[rare].view(np.int64).tolist())
-                        out[1].extend([batch.column(1)[row].as_py()] * len(rare))
-                        out[2].extend([batch.column(0)[row].as_py()] * len(rare))
-                        out[3].extend([member["node"].as_py()] * len(rare))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, kinds)], ["token", "class", "gid", "node"]
-            )
+                        wanted[at[np.lexsort((token[at], df[at]))[:probes]]] = True
+                found = token[wanted].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found),
+                        pa.repeat(batch.column(1)[row], len(found)),
+                        pa.repeat(batch.column(0)[row], len(found)),
+                    ],
+                    ["token", "class", "gid"],
+                )
 
     of_group = (
         matrix.filter("lo < gid")
@@ -326,53 +346,44 @@ def _candidates(groups: DataFrame, matrix: DataFrame, percent: int) -> DataFrame
     probes = (
         groups.join(of_group, "gid")
         .select("gid", "class", "members", "shared")
-        .mapInArrow(run, "token long, class int, gid long, node long")
+        .mapInArrow(run, "token long, class int, gid long")
         # A partner's size is within a factor of 100 / percent: its class is the same or the next.
         .withColumns({"class": F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1))})
     )
     targets = matrix.select("token", "class", F.col("gid").alias("target"))
     hits = probes.join(targets, ["token", "class"]).filter("target < gid")
-    return (
-        hits.select("target", "gid", "node")
-        .distinct()
-        .groupBy("target", "gid")
-        .agg(F.collect_list("node").alias("nodes"))
-    )
+    return hits.select("target", "gid").distinct()
 
 
 def _links_between(groups: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """a, b: a link for each set and connected part of a group that it reaches."""
-    asking = candidates.join(groups.select("gid", "members"), "gid").select(
-        "target",
-        F.filter("members", lambda m: F.array_contains("nodes", m["node"])).alias("asking"),
-    )
+    asking = candidates.join(groups.select("gid", F.col("members").alias("asking")), "gid")
     opened = asking.join(groups.select(F.col("gid").alias("target"), "members"), "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], []]
             for row in range(batch.num_rows):
+                out: list[list] = [[], []]
                 members = batch.column(1)[row].as_py()
                 sets = [np.frombuffer(m["tokens"], np.uint64) for m in members]
                 union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
-                asking, asked = [], []
+                nodes, asked = [], []
                 for q in batch.column(0)[row].as_py():
                     mine = np.frombuffer(q["tokens"], np.uint64)
                     at = np.searchsorted(union, mine)
                     at[at == len(union)] = 0
-                    bound = int((union[at] == mine).sum())
-                    if bound >= _least_overlap(len(mine), percent):
-                        asking.append(q["node"])
+                    if int((union[at] == mine).sum()) >= _least_overlap(len(mine), percent):
+                        nodes.append(q["node"])
                         asked.append(mine)
                 if not asked:
                     continue
                 linked = _linked(asked, sets, percent)
                 roots = np.array([m["root"] for m in members])
-                for node, hit in zip(asking, linked):
+                for node, hit in zip(nodes, linked):
                     for root in np.unique(roots[hit]).tolist():
                         out[0].append(node)
                         out[1].append(root)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
     return opened.select("asking", "members").mapInArrow(run, "a long, b long")
 
@@ -391,6 +402,7 @@ def similarity_classes(
     survivors = materialize(
         _survivor_tokens(docs, passed, words, percent, doc_id, text), "survivor-tokens"
     )
+    survivors = materialize(_with_partners(survivors, percent), "partnered")
     groups = materialize(_groups(survivors, percent, group_size), "groups")
     matrix = materialize(_matrix(groups), "matrix")
     inside = groups.select(F.explode("members").alias("m")).select(
