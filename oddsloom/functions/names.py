@@ -127,13 +127,13 @@ ROSTER_PAGE_EXCEPTIONS = {"philadelphia 76ers": "sixers"}
 def _letter_folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Compatibility folding to ASCII, derived from the Unicode database.
 
-    Characters whose decomposition keeps exactly one ASCII letter or digit go into a
-    ``translate`` table; the few that keep several (ligatures) become replacements.
+    Over all of Unicode: characters whose decomposition keeps exactly one ASCII letter or digit go
+    into a ``translate`` table; those that keep several (ligatures) become replacements.
     """
     single_from, single_to, several = [], [], []
-    for code in [*range(0x80, 0x2000), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)]:
+    for code in range(0x80, 0x110000):
         char = chr(code)
-        if char != char.lower():
+        if not unicodedata.decomposition(char) or char != char.lower():
             continue
         kept = "".join(
             c for c in unicodedata.normalize("NFKD", char) if ord(c) < 128 and c.isalnum()

@@ -393,9 +393,10 @@ def gate_reason(min_ev: float = 0.01, allow_tier_b: bool = False) -> Column:
 def gated(df: DataFrame, min_ev: float = 0.01, allow_tier_b: bool = False) -> DataFrame:
     """Eligibility, reason, readiness, targets and score of picked candidates.
 
-    An event without context fails whatever else holds; needs ``event_mapped``.
+    A named event without context fails whatever else holds; needs ``event_mapped``.
     """
-    reason = F.when(~F.col("event_mapped"), "event_mapping_missing").otherwise(
+    unmapped = ~F.col("event_mapped") & (F.trim("event_id") != "")
+    reason = F.when(unmapped, "event_mapping_missing").otherwise(
         F.coalesce(gate_reason(min_ev, allow_tier_b), F.lit(""))
     )
     target = F.when(F.col("tier") == "A", 0.03).otherwise(0.05)

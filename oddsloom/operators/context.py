@@ -141,17 +141,33 @@ def team_injury_counts(merged: DataFrame) -> DataFrame:
     )
 
 
-def source_health(injuries: DataFrame) -> DataFrame:
-    """Rows per injury source and readiness of the official report."""
+def source_health(injuries: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Rows per injury source, and whether the source can be used.
+
+    ``feeds`` (snapshot_id, source, status, parse_status) tells how each source was read; a source is ready
+    when it has rows, its status is ``ok`` and its parse status is empty or ``ok``. Without ``feeds`` rows suffice.
+    """
     counts = injuries.groupBy("snapshot_id").agg(
         F.count_if(F.col("source") == "official").alias("official_rows"),
         F.count_if(F.col("source") == "secondary").alias("secondary_rows"),
     )
-    return counts.withColumns(
-        {
-            "official_ready": F.col("official_rows") > 0,
-            "secondary_ready": F.col("secondary_rows") > 0,
-        }
+    if feeds is None:
+        usable = counts.withColumns({"official_ok": F.lit(True), "secondary_ok": F.lit(True)})
+    else:
+        good = (F.col("status") == "ok") & F.coalesce("parse_status", F.lit("")).isin("", "ok")
+        read = feeds.groupBy("snapshot_id").agg(
+            *[
+                F.coalesce(F.bool_and(F.when(F.col("source") == s, good)), F.lit(False)).alias(f"{s}_ok")
+                for s in ("official", "secondary")
+            ]
+        )
+        usable = counts.join(read, "snapshot_id", "left")
+    return usable.select(
+        "snapshot_id",
+        "official_rows",
+        "secondary_rows",
+        ((F.col("official_rows") > 0) & F.coalesce("official_ok", F.lit(False))).alias("official_ready"),
+        ((F.col("secondary_rows") > 0) & F.coalesce("secondary_ok", F.lit(False))).alias("secondary_ready"),
     )
 
 

@@ -67,9 +67,12 @@ def row_contract(quotes: DataFrame) -> DataFrame:
 
 
 def table_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Distinct rows added and removed between two versions of a table."""
-    return new.subtract(old).withColumn("change", F.lit("added")).unionByName(
-        old.subtract(new).withColumn("change", F.lit("removed"))
+    """Distinct rows added and removed between two versions of a table, in one shuffle."""
+    keys = old.columns
+    tagged = old.select(*keys, F.lit(True).alias("was")).unionByName(new.select(*keys, F.lit(False).alias("was")))
+    sides = tagged.groupBy(*keys).agg(F.bool_or("was").alias("before"), F.bool_and("was").alias("gone"))
+    return sides.where(F.col("before") == F.col("gone")).select(
+        *keys, F.when(F.col("gone"), "removed").otherwise("added").alias("change")
     )
 
 

@@ -75,7 +75,12 @@ def same_game_pairs(candidates: DataFrame, top_n: int = 10, legs: int = 8) -> Da
     Only the best ``legs`` rows of a game pair up, at most 28 pairs whatever the game holds.
     """
     keys = [*REPORT, "event_id"]
-    order = [odds.zero_as_missing(F.col("best_ev"), -999.0).desc(), *[F.col(c) for c in LINE_TIES]]
+    # Legs keep the candidates' own order among equal values, so the score comes next.
+    order = [
+        odds.zero_as_missing(F.col("best_ev"), -999.0).desc(),
+        odds.zero_as_missing(F.col("score"), -9999.0).desc(),
+        *[F.col(c) for c in LINE_TIES],
+    ]
     leg = F.struct(
         "position", "player", "market", "point", "recommended_side", "selected_price",
         "model_p_hit", "player_team",
@@ -175,9 +180,10 @@ def roster_warnings(candidates: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def verified_players(portfolio: DataFrame) -> DataFrame:
-    """First play of each (player, team) among the selected plays, with a roster link."""
+    """First play of each (player, team) among the selected plays, tier A before B, with a roster link."""
     key = [*REPORT, "player_key", "player_team"]
-    first = top(portfolio.where("portfolio_selected"), key, [F.col("portfolio_rank").asc()], 1)
+    order = [F.col("tier").asc(), F.col("portfolio_rank").asc()]
+    first = top(portfolio.where("portfolio_selected"), key, order, 1)
     return first.withColumn(
         "verification_link", names.roster_link(F.col("player_team"), F.col("player"))
     )
@@ -207,6 +213,12 @@ def action_rank(value: Column) -> Column:
     return F.when(value == "GO", 0).when(value == "LEAN", 1).when(value == "NO-GO", 2).otherwise(3)
 
 
+def _fixed(value: Column, places: int) -> Column:
+    """Digits of a number, rounded as its binary value lies (halves to even)."""
+    return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+
+
+# The sentences of edge notes and reasons.
 def edge_note(best_ev: Column, kelly: Column) -> Column:
     pct = F.coalesce(best_ev, F.lit(0.0)) * 100.0
     strength = (
@@ -217,12 +229,13 @@ def edge_note(best_ev: Column, kelly: Column) -> Column:
         F.when(kelly >= 0.10, "Higher stake").when(kelly >= 0.05, "Medium stake")
         .when(kelly > 0.0, "Small stake").otherwise("No stake")
     )
-    note = F.format_string("%s (%+.1f%% est.), %s", strength, pct, stake)
+    signed = F.concat(F.when(pct >= 0, "+").otherwise(""), _fixed(pct, 1))
+    note = F.format_string("%s (%s%% est.), %s", strength, signed, stake)
     return F.when(best_ev.isNull() & kelly.isNull(), "n/a").otherwise(note)
 
 
 def plain_reason(verdict: Column, injury: Column, roster: Column, tier: Column, best_ev: Column, reason: Column) -> Column:
-    ev = F.coalesce(F.when(best_ev.isNotNull(), F.format_string("%.3f", best_ev)), F.lit("n/a"))
+    ev = F.coalesce(_fixed(best_ev, 3), F.lit("n/a"))
     risky = (reason == "injury_gate") | injury.isin("out", "out_for_season", "doubtful")
     unrostered = (reason == "roster_gate") | roster.isin("inactive", "not_on_roster")
     no_go = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsloom.functions import odds
+from oddsloom.operators import portfolio
 from oddsloom.plans import bindings as b
 from oddsloom.plans import oracles, strategy
 from oddsloom.session import apply_engine_conf, materialize
@@ -98,10 +99,27 @@ def lines_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidates_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_candidates_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates before the report's health gates."""
     return stage(
-        spark, sf_dir, "candidates",
+        spark, sf_dir, "raw-candidates",
         lambda: strategy.strategy_candidates(
             inputs(spark, sf_dir), lines=lines_stage(spark, sf_dir)
         ).drop("recipe"),
     )
+
+
+def candidates_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as the report has them: health gates applied, texts added."""
+    return stage(
+        spark, sf_dir, "candidates",
+        lambda: strategy.described(
+            strategy.healthy_candidates(raw_candidates_stage(spark, sf_dir), inputs(spark, sf_dir))
+        ),
+    )
+
+
+def portfolio_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(
+        spark, sf_dir, "portfolio", lambda: portfolio.select_portfolio(candidates_stage(spark, sf_dir))
+    )

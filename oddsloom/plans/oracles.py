@@ -485,6 +485,21 @@ select *, case
   coalesce(nullif(best_ev, 0.0), -0.5) * 1000.0 + book_count * 5.0 + (over_delta + under_delta) / 10.0
     - coalesce(hold * 100.0, 20.0) as score_base
 from o_cand0"""
+CTES["o_odds_health"] = """
+select *, case when latest is null then 'missing_last_update' when odds_stale then 'stale' else 'ok' end as status from (
+  select *, coalesce(age_latest > 20, true) as odds_stale from (
+    select h.*, (epoch(now_utc) - epoch(latest)) / 60.0 as age_latest, (epoch(now_utc) - epoch(oldest)) / 60.0 as age_oldest from (
+      select snapshot_id, strategy_id, max(quote_time) as latest, min(quote_time) as oldest from o_cand1 group by 1, 2) h
+    left join o_clock using (snapshot_id)))"""
+CTES["o_gates"] = """
+select h.snapshot_id, h.strategy_id, concat_ws(',',
+  case when coalesce(not s.ready, true) then 'official_injury_missing' end, case when odds_stale then 'odds_snapshot_stale' end,
+  case when s.ready is null then 'injuries_context_stale' end, case when s.ready is null then 'roster_context_stale' end) as gates
+from o_odds_health h left join (select snapshot_id, count(*) filter (source = 'official') > 0 as ready from fx_injuries group by 1) s
+  on s.snapshot_id = h.snapshot_id"""
+CTES["o_cand2"] = """
+select c.* replace (case when c.reason = '' and g.gates <> '' then 'health_gate:' || g.gates else c.reason end as reason)
+from o_cand1 c join o_gates g on g.snapshot_id = c.snapshot_id and g.strategy_id = c.strategy_id"""
 CTES["o_cand"] = f"""
 select * exclude (side), side as recommended_side, reason = '' as eligible, score_base + prior_delta * 250.0 as score,
   injury_status in ('available', 'available_unlisted') and roster_status in ('active', 'rostered') as pre_bet_ready,
@@ -494,7 +509,7 @@ select * exclude (side), side as recommended_side, reason = '' as eligible, scor
   case when used = 'median_book' then 'exact_point_pairs' when used = 'median_book_interpolated' then 'reference_curve'
     when used in ('best_sides', 'best_sides_fallback') then 'best_sides' when used = 'missing' then 'missing' else 'unknown' end as line_source,
   away_team || ' @ ' || home_team as game
-from o_cand1"""
+from o_cand2"""
 
 # Greedy portfolio replayed row by row over the full ranking.
 CTES["o_rank"] = """

@@ -180,57 +180,76 @@ def injury_feed_unnest(spark, sf):
 
 
 @register(
-    "html_injury_rows", "page_id player team date_update status note",
-    "select row_order as page_id, player, team, date_update, status, case status when 'out_for_season' then 'Out for season (knee & foot)' "
-    "when 'day_to_day' then 'Day to day (knee & foot)' else upper(substr(status, 1, 1)) || substr(status, 2) || ' (knee & foot)' end as note from fx_injuries",
+    "html_injury_rows", "page_id player player_key team date_update status note",
+    "select row_order as page_id, player || ' Dončić' as player, replace(lower(player), ' ', '') || 'doncic' as player_key, team, date_update, status, "
+    "case status when 'out_for_season' then 'Out for season' when 'day_to_day' then 'Day to day' else upper(substr(status, 1, 1)) || substr(status, 2) end "
+    "|| ' (knee & foot — “é” &x)' as note from fx_injuries",
 )
 def html_injury_rows(spark, sf):
     spoken = F.replace(F.initcap(F.replace("status", F.lit("_"), F.lit(" "))), F.lit("Day To Day"), F.lit("Day to day"))
     spoken = F.replace(spoken, F.lit("Out For Season"), F.lit("Out for season"))
     html = F.concat(
-        F.lit('<table><tr class="r"><th data-stat="player"><a href="/p">'), "player",
-        F.lit('</a></th><td data-stat="team_name"><a href="/t">'), "team",
-        F.lit('</a></td><td data-stat="date_update" csk="'), "date_update", F.lit('">x</td><td data-stat="note"><b>'),
-        spoken, F.lit("</b> (knee &amp; foot)</td></tr></table>"),
+        F.lit("<table><tr><th data-stat='player'>no such row</th></tr><tr class=\"r\"><td csk='"), "date_update",
+        F.lit("' data-stat=\"date_update\">x</td><th data-stat=\"player\"><a href=\"/p\">"), "player",
+        F.lit(' Don&ccaron;i&cacute;</a></th><TD data-stat="team_name"><a href="/t">'), "team",
+        F.lit('</a></TD><td data-stat="note"><b>'), spoken,
+        F.lit("</b> (knee &amp; foot &#8212; &#147;&#xE9;&rdquo; &x)</td></tr></table>"),
     )
     return payloads.html_injuries(b.injuries(spark, sf).select(F.col("row_order").alias("page_id"), html.alias("html")))
 
 
-@register("html_pages_scanned", "page_id injury_rows report_links", "select page_id, 0 as injury_rows, 0 as report_links from pages")
+_PAGE_ROW = '<tr><th data-stat="player">A B</th><td data-stat="team_name">Utah Jazz</td><td data-stat="date_update" csk="2024-01-01">x</td><td data-stat="note">Out</td></tr>'
+
+
+@register(
+    "html_pages_scanned", "page_id injury_rows report_links",
+    "select page_id, cast(page_id % 3 as integer) as injury_rows, cast(case when page_id % 2 = 0 then 1 when page_id % 5 = 0 then 2 else 0 end as integer) as report_links from pages",
+)
 def html_pages_scanned(spark, sf):
-    pages = b.table(spark, sf, "pages")
-    rows = payloads.html_injuries(pages).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("a"))
-    links = payloads.report_links(pages).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("l"))
-    return pages.select("page_id").join(rows, "page_id", "left").join(links, "page_id", "left").select(
-        "page_id", F.coalesce("a", F.lit(0)).alias("injury_rows"), F.coalesce("l", F.lit(0)).alias("report_links")
+    """Whole pages, each with a few rows and links added that tell it from the others."""
+    added = F.concat(
+        F.expr(f"repeat('{_PAGE_ROW}', int(page_id % 3))"),
+        F.when(F.col("page_id") % 2 == 0, F.lit('<a class=x href="a/report.pdf">Injury</a><a href="injury.pdf">List</a>'))
+        .when(F.col("page_id") % 5 == 0, F.lit("<a href='/injury-a.PDF'>One</a><a href='/injury-b.pdf'>Two</a><a href='/menu.pdf'>Menu</a>"))
+        .otherwise(F.lit("<a href='/menu.pdf'>Menu</a>")),
+    )
+    pages = b.table(spark, sf, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), added).alias("html"))
+    rows = payloads.html_injuries(pages).select("page_id", F.lit(1).alias("a"), F.lit(0).alias("l"))
+    links = payloads.report_links(pages).select("page_id", F.lit(0).alias("a"), F.lit(1).alias("l"))
+    blank = pages.select("page_id", F.lit(0).alias("a"), F.lit(0).alias("l"))
+    return rows.unionByName(links).unionByName(blank).groupBy("page_id").agg(
+        F.sum("a").cast("int").alias("injury_rows"), F.sum("l").cast("int").alias("report_links")
     )
 
 
 @register(
     "newest_report_link", "page_id url",
-    "select c_custkey as page_id, '/injury-report_2024-01-' || lpad(cast(c_custkey % 28 + 1 as varchar), 2, '0') || '_01PM.pdf' as url from customer",
+    "select c_custkey as page_id, 'https://feed.example/reports/injury-report_2024-01-' || lpad(cast(c_custkey % 28 + 1 as varchar), 2, '0') || "
+    "case when c_custkey % 2 = 0 then '_01PM.pdf' else '_01_30PM.pdf' end as url from customer",
 )
 def newest_report_link(spark, sf):
     day = F.expr("lpad(cast(c_custkey % 28 + 1 as string), 2, '0')")
 
     def link(suffix: str):
         return F.concat(
-            F.lit('<a href="/injury-report_2024-01-'), day, F.lit(f'_{suffix}.pdf">Injury <i>Report</i></a>')
+            F.lit('<a href="injury-report_2024-01-'), day, F.lit(f'_{suffix}.pdf">Injury <i>Report</i></a>')
         )
 
-    html = F.concat(link("11AM"), link("01PM"), link("12AM"), F.lit('<a href="/menu.pdf">Injury menu</a>'))
+    late = F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(link("01_30PM"))
+    html = F.concat(link("11AM"), link("01PM"), link("12AM"), late, F.lit('<a href="/menu.pdf">Injury menu</a>'))
     pages = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
-    return payloads.newest_report(payloads.report_links(pages))
+    return payloads.newest_report(payloads.report_links(pages, "https://feed.example/reports/today.html"))
 
 
 _REPORT_STATUS = "case c_custkey % 5 when 0 then 'Out' when 1 then 'Doubtful' when 2 then 'Questionable' when 3 then 'Probable' else 'Available' end"
 
 
 def _reports(spark, sf):
-    """One report text per customer: two entries, the second without a status."""
+    """One report text per customer: stray statuses, a player without one, and a full entry."""
     text = F.concat(
         F.lit("Injury Report: 01/05/24 05:30 PM\nGame Date\n01/05/2024\n"),
-        F.expr("if(c_custkey % 2 = 0, 'Boston Celtics', 'Utah Jazz')"), F.lit("\nBench"), F.lit(", Nobody\nStar"),
+        F.expr("if(c_custkey % 3 = 0, 'Out\n05:30 (ET)\nDoubtful\n', 'BOS@UTA\n')"),
+        F.expr("if(c_custkey % 2 = 0, 'Boston Celtics', 'Utah Jazz')"), F.lit("\nBench, Nobody\nStar"),
         F.expr("cast(c_custkey % 50 as string)"), F.lit(", Player\n"), F.expr(_REPORT_STATUS),
         F.lit("\nInjury/Illness -\n\n"), F.col("c_mktsegment"), F.lit("\nPage 1 of 2\nstray note"),
     )
@@ -247,16 +266,25 @@ def report_injury_rows(spark, sf):
 
 
 @register(
-    "report_coverage", "doc_id generated_at status_tokens rows_count parse_coverage parse_status",
-    "select c_custkey as doc_id, '2024-01-05 22:30:00' as generated_at, 1 as status_tokens, 1 as rows_count, cast(1 as double) as parse_coverage, 'ok' as parse_status from customer",
+    "report_coverage",
+    "doc_id generated_at status_tokens orphan_status_tokens skipped_players rows_count parse_coverage parse_status",
+    "select c_custkey as doc_id, '2024-01-05 22:30:00' as generated_at, 1 as status_tokens, case when c_custkey % 3 = 0 then 2 else 0 end as orphan_status_tokens, "
+    "1 as skipped_players, 1 as rows_count, cast(1 as double) as parse_coverage, 'ok' as parse_status from customer",
 )
 def report_coverage(spark, sf):
     return payloads.report_coverage(_reports(spark, sf))
 
 
-@register("document_line_kinds", "doc_id lines", "select doc_id, count(*) as lines from (select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]')) as line from documents) where trim(line, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> '' group by 1")
+@register(
+    "document_line_kinds", "doc_id kind lines",
+    "select doc_id, case when lower(t) in ('out', 'doubtful', 'questionable', 'probable', 'available') then 'status' "
+    "when regexp_matches(t, '^[A-Za-z0-9''.\\- \\t]+,[A-Za-z0-9''.\\- \\t]+$') and trim(split_part(t, ',', 1)) <> '' and trim(split_part(t, ',', 2)) <> '' then 'player' "
+    "else 'note' end as kind, count(*) as lines from (select doc_id, trim(line, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as t from "
+    "(select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]')) as line from documents)) where t <> '' group by 1, 2",
+)
 def document_line_kinds(spark, sf):
-    return payloads.report_lines(b.table(spark, sf, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    lines = payloads.report_lines(b.table(spark, sf, "documents"))
+    return lines.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("lines"))
 
 
 # --- manifests and files ------------------------------------------------------------------

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddsloom.functions import odds
-from oddsloom.operators import candidates, context, portfolio, pricing, reference_curve
+from oddsloom.operators import candidates, context, pricing, reference_curve
 from oddsloom.plans import bindings as b
-from oddsloom.plans.catalog import candidates_stage, inputs, lines_stage, r6, register, ts
+from oddsloom.plans.catalog import candidates_stage, inputs, lines_stage, portfolio_stage, r6, raw_candidates_stage, register, ts
 from oddsloom.plans.oracles import decimal
 
 LINE = "snapshot_id event_id market player point"
@@ -243,11 +243,20 @@ def missing_event_mappings(spark, sf):
 @register(
     "source_health",
     "snapshot_id official_rows secondary_rows official_ready secondary_ready",
-    "select snapshot_id, official_rows, secondary_rows, official_rows > 0 as official_ready, "
-    "secondary_rows > 0 as secondary_ready from o_health",
+    "select snapshot_id, official_rows, secondary_rows, official_rows > 0 and cast(right(snapshot_id, 2) as integer) % 4 <> 0 as official_ready, "
+    "secondary_rows > 0 and cast(right(snapshot_id, 2) as integer) % 3 <> 0 as secondary_ready from o_health",
 )
 def source_health(spark, sf):
-    return context.source_health(b.injuries(spark, sf))
+    """Every fourth official report fails to parse, every third secondary feed is not read."""
+    injuries = b.injuries(spark, sf)
+    day = F.expr("int(right(snapshot_id, 2))")
+    official = F.col("source") == "official"
+    feeds = injuries.select("snapshot_id", "source").distinct().select(
+        "snapshot_id", "source",
+        F.when(~official & (day % 3 == 0), "error").otherwise("ok").alias("status"),
+        F.when(official & (day % 4 == 0), "error").otherwise("").alias("parse_status"),
+    )
+    return context.source_health(injuries, feeds)
 
 
 @register(
@@ -320,4 +329,25 @@ def candidate_calibration(spark, sf):
     f"select {CAND_SQL}, recommended_side, portfolio_selected, portfolio_rank, portfolio_reason from o_port",
 )
 def portfolio_selection(spark, sf):
-    return portfolio.select_portfolio(candidates_stage(spark, sf))
+    return portfolio_stage(spark, sf)
+
+
+@register(
+    "odds_health",
+    "snapshot_id strategy_id status odds_stale latest_quote oldest_quote age_latest_min age_oldest_min",
+    f"select snapshot_id, strategy_id, status, odds_stale, {ts('latest', 'latest_quote')}, {ts('oldest', 'oldest_quote')}, "
+    "round(age_latest, 2) as age_latest_min, round(age_oldest, 2) as age_oldest_min from o_odds_health",
+)
+def odds_health(spark, sf):
+    clock = pricing.snapshot_clock(b.quotes(spark, sf))
+    return candidates.odds_health(raw_candidates_stage(spark, sf), clock)
+
+
+@register(
+    "health_gated_candidates", "snapshot_id strategy_id health_gates eligible reason rows",
+    "select c.snapshot_id, c.strategy_id, gates as health_gates, eligible, reason, count(*) as rows from o_cand c "
+    "join o_gates g on g.snapshot_id = c.snapshot_id and g.strategy_id = c.strategy_id group by all",
+)
+def health_gated_candidates(spark, sf):
+    keys = ["snapshot_id", "strategy_id", "health_gates", "eligible", "reason"]
+    return candidates_stage(spark, sf).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.operators import execution, minutes, minutes_model, portfolio, pricing, views
+from oddsloom.operators import execution, minutes, minutes_model, pricing, views
 from oddsloom.plans import bindings as b
-from oddsloom.plans.catalog import candidates_stage, r6, register, stage
+from oddsloom.plans.catalog import candidates_stage, portfolio_stage, r6, register, stage
 from oddsloom.plans.oracles import CTES, american, clamp, decimal, ev
 
 CAND = "snapshot_id strategy_id event_id market player point"
@@ -19,12 +19,6 @@ CTES["o_sel"] = f"""
 select c.*, p.portfolio_rank, p.portfolio_selected, p.portfolio_reason from o_cand c join o_port p using ({CAND_SQL})"""
 
 
-def portfolio_stage(spark, sf):
-    return stage(
-        spark, sf, "portfolio", lambda: portfolio.select_portfolio(candidates_stage(spark, sf))
-    )
-
-
 @register(
     "watchlist_views", f"{CAND} position reason best_ev",
     f"select {CAND_SQL}, cast(rn as integer) as position, reason, best_ev from (select *, row_number() over "
@@ -79,9 +73,9 @@ _HAIR = (
     "when a.market in ('player_points', 'player_assists', 'player_points_rebounds_assists') or b.market in ('player_points', 'player_assists', "
     "'player_points_rebounds_assists') then 0.08 else 0.05 end"
 )
-CTES["o_legs"] = """
-select * from (select *, row_number() over (partition by snapshot_id, strategy_id, event_id order by
-  coalesce(nullif(best_ev, 0.0), -999.0) desc, event_id, player, point, market) as rn from o_cand where eligible) where rn <= 8"""
+CTES["o_legs"] = f"""
+select * from (select *, row_number() over (partition by snapshot_id, strategy_id, event_id order by {ORDER}) as rn
+  from o_cand where eligible) where rn <= 8"""
 CTES["o_sgp0"] = f"""
 select a.snapshot_id, a.strategy_id, a.event_id, a.player as player_a, a.market as market_a, a.point as point_a, a.recommended_side as side_a,
   b.player as player_b, b.market as market_b, b.point as point_b, b.recommended_side as side_b, a.p_hit * b.p_hit as joint, {_HAIR} as haircut,
@@ -160,7 +154,7 @@ def roster_warnings(spark, sf):
     "verified_players", "snapshot_id strategy_id player player_team event_id verification_link",
     "select snapshot_id, strategy_id, player, player_team, event_id, 'https://www.espn.com/search/_/q/' || "
     "replace(player || ' ' || player_team || ' nba', ' ', '+') as verification_link from (select *, row_number() over (partition by snapshot_id, "
-    "strategy_id, player_key, player_team order by portfolio_rank) as rn from o_sel where portfolio_selected) where rn = 1",
+    "strategy_id, player_key, player_team order by tier, portfolio_rank) as rn from o_sel where portfolio_selected) where rn = 1",
 )
 def verified_players(spark, sf):
     return views.verified_players(portfolio_stage(spark, sf))
@@ -180,15 +174,21 @@ select *, case when injury_status not in ('available', 'available_unlisted') or
 from o_sel where portfolio_selected"""
 
 
+_BRIEF_EV = "coalesce(format('{:.3f}', best_ev), 'n/a')"
+
+
 @register(
-    "brief_plays", f"{CAND} action_default game_label ticket strength_and_stake",
-    f"select {CAND_SQL}, action_default, game_label, ticket, strength || ', ' || stake as strength_and_stake from o_brief",
+    "brief_plays", f"{CAND} action_default game_label ticket edge_note plain_reason",
+    f"select {CAND_SQL}, action_default, game_label, ticket, case when best_ev is null and best_kelly is null then 'n/a' else strength || ' (' || "
+    "format('{:+.1f}', coalesce(best_ev, 0) * 100) || '% est.), ' || stake end as edge_note, case action_default "
+    "when 'NO-GO' then case when reason = 'injury_gate' or injury_status in ('out', 'out_for_season', 'doubtful') then 'No-go because player availability risk is too high.' "
+    "when reason = 'roster_gate' or roster_status in ('inactive', 'not_on_roster') then 'No-go because roster check does not confirm active status.' "
+    f"else 'No-go due to weak edge or missing confidence signals (EV ' || {_BRIEF_EV} || ').' end "
+    f"when 'LEAN' then 'Lean: positive edge (EV ' || {_BRIEF_EV} || ') but not strong enough for full GO.' "
+    f"else 'Go: verified availability with tier ' || tier || ' market depth and positive edge (EV ' || {_BRIEF_EV} || ').' end as plain_reason from o_brief",
 )
 def brief_plays(spark, sf):
-    plays = views.brief_plays(portfolio_stage(spark, sf))
-    return plays.withColumn(
-        "strength_and_stake", F.regexp_replace("edge_note", r" \(.*\)", "")
-    )
+    return views.brief_plays(portfolio_stage(spark, sf))
 
 
 _BRIEF_ORDER = (

@@ -63,12 +63,20 @@ def write_clean(df: DataFrame, root: str, table: str, overwrite: bool) -> bool:
 
 
 def write_days(df: DataFrame, path: str, overwrite: bool) -> None:
-    """Writes day partitions; an existing table is an error unless its days may be replaced."""
+    """Writes day partitions; days that exist already are an error unless they may be replaced."""
+    spark = df.sparkSession
     writer = df.repartition("day").write.partitionBy("day").option("compression", "zstd")
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        writer.mode("errorifexists").parquet(path)
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.parquet(path).select(F.col("day").cast("string").alias("day")).distinct()
+        again = df.select(F.col("day").cast("string").alias("day")).distinct().join(there, "day", "left_semi")
+        clash = [row["day"] for row in again.limit(5).collect()]
+        if clash:
+            raise FileExistsError(f"{path} holds {', '.join(clash)}")
+    writer.mode("append").parquet(path)
 
 
 def write_mirror(df: DataFrame, path: str, sort: list[str]) -> None:
