@@ -200,9 +200,9 @@ _REPORTED = {
 
 
 def pick_sides(lines: DataFrame, groups: list[tuple[tuple, dict]], to_array, leave_out: bool) -> DataFrame:
-    """Lines times recipes with the better side picked; ties go to the over.
+    """Lines times pricing groups with the better side picked; ties go to the over.
 
-    Prices are modeled once per pricing group; its recipes fan out afterwards.
+    ``recipes`` holds the recipes of the group, for :func:`with_recipes`.
     """
     expanded = lines.withColumn("variant", F.explode(_variant_array(groups, to_array))).withColumns(
         {"over_price": -F.col("over_best.cost"), "under_price": -F.col("under_best.cost")}
@@ -334,11 +334,15 @@ def pick_sides(lines: DataFrame, groups: list[tuple[tuple, dict]], to_array, lea
         "baseline_curve_books", "p_over_median", "p_over_iqr", "p_over_range", "hold_median",
         "p_over_best", "hold_best", "reference", "curve_books", "over_best", "under_best",
     ]
+    return flat.drop(*helpers).withColumn("recipes", F.col("variant.recipes")).drop("variant")
+
+
+def with_recipes(picked: DataFrame) -> DataFrame:
+    """Rows of pricing groups to rows of recipes."""
     return (
-        flat.drop(*helpers)
-        .withColumn("recipe", F.explode("variant.recipes"))
+        picked.withColumn("recipe", F.explode("recipes"))
         .withColumn("strategy_id", F.col("recipe.strategy_id"))
-        .drop("variant")
+        .drop("recipes")
     )
 
 

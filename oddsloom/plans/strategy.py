@@ -116,10 +116,15 @@ def _with_calibration(
         side, wide = prior_tables(
             inputs.tickets, inputs.event_context.select("snapshot_id").distinct(), settings.priors
         )
+        # A few rows for each market and side; as files, their plan stays out of the candidates' one.
+        side, wide = materialize(side, "prior-sides"), materialize(wide, "prior-bins")
         joined = calibration.with_profiles(keyed, side, wide)
-    hit = calibration.feedback(F.col("model_p_hit"), settings.priors)
-    low = calibration.feedback(F.col("p_hit_low"), settings.priors)
-    fed = joined.withColumns({"hit_feedback": hit, "low_feedback": low})
+    both = F.transform(
+        F.array("model_p_hit", "p_hit_low"), lambda p: calibration.feedback(p, settings.priors)
+    )
+    fed = joined.withColumns({"feedback": both}).withColumns(
+        {"hit_feedback": F.get("feedback", 0), "low_feedback": F.get("feedback", 1)}
+    )
     p_hit = F.col("hit_feedback.p_calibrated")
     p_low = F.coalesce("low_feedback.p_calibrated", p_hit)
     return fed.withColumns(
@@ -137,7 +142,7 @@ def _with_calibration(
             "historical_prior_hit_rate": F.col("prior_hit_rate"),
         }
     ).drop(
-        "hit_feedback", "low_feedback", "side_bins", "global_bins", "prior_delta",
+        "feedback", "hit_feedback", "low_feedback", "side_bins", "global_bins", "prior_delta",
         "prior_sample_size", "prior_hit_rate", "prior_source", "as_of",
     )
 
@@ -159,10 +164,12 @@ def strategy_candidates(
             candidates.pick_sides(lines.drop("panel"), groups[False], recipe_book.recipe_array, False)
         )
     if groups[True]:
-        reduced = candidates.with_scenarios(lines, settings.stale_quote_minutes)
+        reduced = materialize(candidates.with_scenarios(lines, settings.stale_quote_minutes), "scenarios")
         parts.append(candidates.pick_sides(reduced, groups[True], recipe_book.recipe_array, True))
+    # Each pricing group is modeled and written once; its recipes differ in priors and gates only.
+    parts = [materialize(part, "modeled") for part in parts]
     picked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    with_priors = _with_calibration(picked, inputs, settings)
+    with_priors = _with_calibration(candidates.with_recipes(picked), inputs, settings)
     gated = candidates.gated(with_priors, settings.min_ev, settings.allow_tier_b)
     return gated.withColumn("portfolio_ranking", F.col("recipe.portfolio_ranking"))
 
