@@ -60,38 +60,30 @@ def baseline(scenario, method: Column, fallback: Column) -> Column:
 
 def with_reference(lines: DataFrame) -> DataFrame:
     """Lines with the reading of their identity's reference curve."""
-    curves = reference_curve.reference_curves(reference_curve.reference_points(lines))
-    return reference_curve.with_estimates(lines, curves).withColumn(
-        "curve_books", F.coalesce("curve_books", F.array().cast("array<string>"))
-    )
+    return reference_curve.with_reference(lines)
 
 
 def leave_one_out(lines: DataFrame, stale_minutes: int = 20) -> DataFrame:
     """Pricing of each line without the book that offers the best over, and best under.
 
-    One row per (line, ``excluded_book``). The curve without a book is fitted once per
-    (identity, book) that is the best offer anywhere on the identity.
+    One row per (line, ``excluded_book``). Lines of an identity are gathered once; the books to leave out are
+    those that are best anywhere on it, and the curve without a book is fitted once per (identity, book).
     """
-    excluded = F.explode(
-        F.array_distinct(F.array_compact(F.array(F.col("over_best.book"), F.col("under_best.book"))))
-    )
-    base = lines.select(*LINE, "panel", "freshest_quote", "now_utc", "over_best", "under_best")
-    wanted = base.select(*IDENTITY, excluded.alias("excluded_book")).where(
-        F.col("excluded_book") != ""
-    )
-    rest = base.drop("over_best", "under_best").join(wanted.distinct(), IDENTITY).withColumn(
-        "panel", pricing.without_book(F.col("panel"), F.col("excluded_book"))
+    rest = ["point", "panel", "freshest_quote", "now_utc", "over_best", "under_best"]
+    gathered = lines.groupBy(*IDENTITY).agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    best = F.flatten(F.transform("rows", lambda r: F.array(r["over_best"]["book"], r["under_best"]["book"])))
+    excluded = F.array_distinct(F.filter(best, lambda book: book != ""))
+    spread = gathered.withColumn("excluded_book", F.explode(excluded)).withColumn("row", F.explode("rows"))
+    reduced = spread.select(
+        *IDENTITY,
+        "excluded_book",
+        *[F.col(f"row.{c}").alias(c) for c in ("point", "freshest_quote", "now_utc")],
+        pricing.without_book(F.col("row.panel"), F.col("excluded_book")).alias("panel"),
     )
     priced = pricing.quality_columns(
-        pricing.best_pair_columns(rest), stale_minutes=stale_minutes
+        pricing.best_pair_columns(reduced), stale_minutes=stale_minutes
     ).drop("panel", "freshest_quote", "now_utc")
-    keys = [*IDENTITY, "excluded_book"]
-    curves = reference_curve.reference_curves(
-        reference_curve.reference_points(priced, keys), keys
-    )
-    return reference_curve.with_estimates(priced, curves, keys).withColumn(
-        "curve_books", F.coalesce("curve_books", F.array().cast("array<string>"))
-    )
+    return reference_curve.with_reference(priced, [*IDENTITY, "excluded_book"])
 
 
 def with_scenarios(lines: DataFrame, stale_minutes: int = 20) -> DataFrame:

@@ -39,14 +39,43 @@ def snapshot_clock(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("snapshot_id").agg(F.max("last_update").alias("now_utc"))
 
 
-def line_books(quotes: DataFrame) -> DataFrame:
-    """One row per line and book: best and worst price of each side, with its origin."""
+# An offer as one number, for hash aggregation: its cost, then its time in microseconds.
+_COST_SHIFT, _TIME_SHIFT, _NO_TIME = 10**9, 10**17, 10**18
+
+
+def _packed(cost: Column, at: Column) -> Column:
+    time = F.coalesce(F.unix_micros(at) + F.lit(_TIME_SHIFT), F.lit(0))
+    whole = (cost + F.lit(_COST_SHIFT)).cast("decimal(11,0)") * F.lit(_NO_TIME).cast("decimal(19,0)")
+    return (whole + time.cast("decimal(19,0)")).cast("decimal(31,0)")
+
+
+def _unpacked(packed: Column) -> Column:
+    unit = F.lit(_NO_TIME).cast("decimal(31,0)")
+    time = (packed % unit).cast("long")
+    cost = ((packed - packed % unit) / unit).cast("long") - F.lit(_COST_SHIFT)
+    return F.when(
+        packed.isNotNull(),
+        F.struct(
+            cost.cast("int").alias("cost"),
+            F.when(time > 0, F.timestamp_micros(time - F.lit(_TIME_SHIFT))).alias("last_update"),
+            F.lit(None).cast("string").alias("link"),
+        ),
+    )
+
+
+def line_books(quotes: DataFrame, links: bool = True) -> DataFrame:
+    """One row per line and book: best and worst price of each side, with its origin.
+
+    A text in an aggregate makes Spark sort all quotes. Without ``links`` an offer is cost and time, packed into
+    one number, and quotes are only hashed; offers then have a null link.
+    """
 
     def offer(side: str) -> Column:
         priced = (F.col("side") == side) & F.col("price").isNotNull()
-        return F.min(
-            F.when(priced, F.struct((-F.col("price")).alias("cost"), "last_update", "link"))
-        )
+        cost = -F.col("price")
+        if links:
+            return F.min(F.when(priced, F.struct(cost.alias("cost"), "last_update", "link")))
+        return F.min(F.when(priced, _packed(cost, F.col("last_update"))))
 
     def lowest(side: str) -> Column:
         return F.min(F.when(F.col("side") == side, F.col("price")))
@@ -63,6 +92,10 @@ def line_books(quotes: DataFrame) -> DataFrame:
         quoted("under").alias("under_quoted"),
         F.max("last_update").alias("last_seen"),
     )
+    if not links:
+        grouped = grouped.withColumns(
+            {c: _unpacked(F.col(c)) for c in ("over_offer", "under_offer")}
+        )
     over = F.when(F.col("book") != "", -F.col("over_offer.cost"))
     under = F.when(F.col("book") != "", -F.col("under_offer.cost"))
     return (
@@ -227,13 +260,14 @@ def _age_minutes() -> Column:
 
 
 def priced_lines(
-    quotes: DataFrame, stale_minutes: int = 20, clock: DataFrame | None = None
+    quotes: DataFrame, stale_minutes: int = 20, clock: DataFrame | None = None, links: bool = True
 ) -> DataFrame:
     """Lines with best sides, depth tier and pricing quality.
 
-    ``clock`` gives ``now_utc`` per snapshot; by default the newest quote of the snapshot.
+    ``clock`` gives ``now_utc`` per snapshot; by default the newest quote of the snapshot. ``links`` as in
+    :func:`line_books`.
     """
-    panels = line_panels(line_books(quotes))
+    panels = line_panels(line_books(quotes, links))
     clocked = panels.join(clock if clock is not None else snapshot_clock(quotes), "snapshot_id", "left")
     panel = F.col("panel")
     named = F.transform(F.filter(panel, lambda b: b["book"] != ""), lambda b: b["book"])

@@ -88,24 +88,20 @@ def isotonic_nonincreasing(values: Column, weights: Column) -> Column:
     )
 
 
-def reference_curves(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per identity: sorted ``curve`` of (point, p_over, hold) and its median hold."""
-    keys = keys or IDENTITY
-    collected = points.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "point",
-                    odds.clamp_probability(F.col("p_over")).alias("raw"),
-                    "hold",
-                    "weight",
-                    "books_used",
-                )
-            )
-        ).alias("ladder")
+def _ladder_entry(point, p_over, hold, weight, books_used) -> Column:
+    return F.struct(
+        point.alias("point"),
+        odds.clamp_probability(p_over).alias("raw"),
+        hold.alias("hold"),
+        weight.alias("weight"),
+        books_used.alias("books_used"),
     )
+
+
+def _with_fit(frame: DataFrame) -> DataFrame:
+    """Replaces the sorted array ``ladder`` by curve, curve_hold_median and curve_books."""
     ladder = F.col("ladder")
-    fitted = collected.withColumn(
+    fitted = frame.withColumn(
         "fit",
         isotonic_nonincreasing(
             F.transform(ladder, lambda p: p["raw"]), F.transform(ladder, lambda p: p["weight"])
@@ -123,13 +119,52 @@ def reference_curves(points: DataFrame, keys: list[str] | None = None) -> DataFr
         ),
     )
     holds = F.array_sort(F.filter(F.transform(ladder, lambda p: p["hold"]), lambda h: h.isNotNull()))
+    return fitted.withColumns(
+        {
+            "curve": curve,
+            "curve_hold_median": odds.sorted_quantile(holds, 0.5),
+            "curve_books": F.array_sort(
+                F.array_distinct(F.flatten(F.transform(ladder, lambda p: p["books_used"])))
+            ),
+        }
+    ).drop("ladder", "fit")
+
+
+def reference_curves(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per identity: sorted ``curve`` of (point, p_over, hold) and its median hold."""
+    keys = keys or IDENTITY
+    entry = _ladder_entry(*[F.col(c) for c in ("point", "p_over", "hold", "weight", "books_used")])
+    collected = points.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("ladder"))
+    return _with_fit(collected)
+
+
+def with_reference(lines: DataFrame, keys: list[str] | None = None, name: str = "reference") -> DataFrame:
+    """Lines with the reading of their identity's curve as struct ``name``, and the curve's books.
+
+    The lines of an identity (as many as a ladder has points) are gathered once, fitted, read and spread again:
+    one shuffle, and none if they lie together already.
+    """
+    keys = keys or IDENTITY
+    rest = [c for c in lines.columns if c not in keys]
+    gathered = lines.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    ladder = F.array_sort(
+        F.transform(
+            F.filter("rows", lambda r: r["p_over_median"].isNotNull()),
+            lambda r: _ladder_entry(
+                r["point"],
+                r["p_over_median"],
+                r["hold_median"],
+                F.greatest(r["book_pair_count"], F.lit(1)).cast("double"),
+                r["books_used"],
+            ),
+        )
+    )
+    fitted = _with_fit(gathered.withColumn("ladder", ladder)).withColumn("row", F.explode("rows"))
     return fitted.select(
         *keys,
-        curve.alias("curve"),
-        odds.sorted_quantile(holds, 0.5).alias("curve_hold_median"),
-        F.array_sort(
-            F.array_distinct(F.flatten(F.transform(ladder, lambda p: p["books_used"])))
-        ).alias("curve_books"),
+        *[F.col(f"row.{c}").alias(c) for c in rest],
+        estimate(F.col("curve"), F.col("curve_hold_median"), F.col("row.point")).alias(name),
+        "curve_books",
     )
 
 

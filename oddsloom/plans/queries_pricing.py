@@ -21,7 +21,7 @@ LINE_SQL = "snapshot_id, event_id, market, player, point"
     f"{r6('p_over_implied p_under_implied p_over_fair hold')} from o_pairs",
 )
 def book_fair_pairs(spark, sf):
-    return pricing.fair_pairs(pricing.line_books(b.quotes(spark, sf)))
+    return pricing.fair_pairs(pricing.line_books(b.quotes(spark, sf), links=False))
 
 
 @register(
@@ -66,7 +66,7 @@ def line_best_sides(spark, sf):
 )
 def line_pricing_quality(spark, sf):
     """Flagship: quotes to line quality."""
-    return pricing.priced_lines(b.quotes(spark, sf))
+    return pricing.priced_lines(b.quotes(spark, sf), links=False)
 
 
 @register(
@@ -75,7 +75,7 @@ def line_pricing_quality(spark, sf):
     f"select {LINE_SQL}, {r6('raw p_over hold weight=w')} from o_curve where xb = ''",
 )
 def reference_curve_points(spark, sf):
-    points = reference_curve.reference_points(pricing.priced_lines(b.quotes(spark, sf)))
+    points = reference_curve.reference_points(pricing.priced_lines(b.quotes(spark, sf), links=False))
     return reference_curve.curve_points(reference_curve.reference_curves(points))
 
 
@@ -86,7 +86,7 @@ def reference_curve_points(spark, sf):
     "curve_books from o_scn where xb = ''",
 )
 def reference_estimate(spark, sf):
-    lines = candidates.with_reference(pricing.priced_lines(b.quotes(spark, sf)))
+    lines = candidates.with_reference(pricing.priced_lines(b.quotes(spark, sf), links=False))
     return lines.select(
         *pricing.LINE, "reference.method", "reference.points",
         F.col("reference.p_over").alias("ref_p"), F.col("reference.hold").alias("ref_hold"),
@@ -110,7 +110,7 @@ _MEDIAN_BASE = (
     + " as line_source from o_scn where xb = ''",
 )
 def baseline_selection(spark, sf):
-    lines = candidates.with_reference(pricing.priced_lines(b.quotes(spark, sf)))
+    lines = candidates.with_reference(pricing.priced_lines(b.quotes(spark, sf), links=False))
     chosen = candidates.baseline(F.col, F.lit("median_book"), F.lit("best_sides"))
     return lines.withColumn("base", chosen).select(
         *pricing.LINE, F.col("base.p_over").alias("p_over_fair"), "base.hold",
@@ -128,7 +128,7 @@ def baseline_selection(spark, sf):
     f"band as uncertainty_band, ref_method as method, {r6('ref_p ref_hold')}, curve_books from o_scn where xb <> ''",
 )
 def leave_one_out_pricing(spark, sf):
-    lines = pricing.priced_lines(b.quotes(spark, sf))
+    lines = pricing.priced_lines(b.quotes(spark, sf), links=False)
     return candidates.leave_one_out(lines).withColumns(
         {
             "method": F.col("reference.method"),
