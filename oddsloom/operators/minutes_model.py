@@ -2,8 +2,8 @@
 
 MLlib has no quantile loss. A regression forest partitions the feature space; the wanted
 quantiles of the training minutes in each leaf, averaged over the trees, are the forecast. The
-leaf table is an aggregation (trees times leaves rows), so training data never leaves the
-executors.
+leaf table is an aggregation of trees times leaves rows (a parameter, not the data, sets their number), folded
+to one row of maps, which every task gets: reading the leaves needs no shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import names, odds
 from oddsloom.operators.minutes import FEATURES, confidence, quality_flags
+from oddsloom.session import materialize
 
 QUANTILES = (0.1, 0.5, 0.9)
 
@@ -70,14 +71,16 @@ def train(rows: DataFrame, settings: ModelSettings = ModelSettings()) -> Minutes
             VectorAssembler(inputCols=filled, outputCol="features"),
         ]
     ).fit(prepared)
-    data = features.transform(prepared).select("features", "active_target", "actual_minutes")
+    # Boosting reads the rows once per round.
+    data = features.transform(prepared).select("features", "active_target", "actual_minutes").persist()
     active = data.where("active_target = 1")
-    quantiles = F.percentile(F.when(F.col("active_target") == 1, F.col("actual_minutes")), list(QUANTILES))
+    # Quantiles over counts per minute value: minutes are few, rows are many.
+    counts = active.groupBy("actual_minutes").agg(F.count(F.lit(1)).alias("n"))
     facts = data.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("active_target") == 1).alias("n_active"),
-        quantiles.alias("q"),
     ).first()
+    quantiles = counts.agg(F.percentile("actual_minutes", list(QUANTILES), F.col("n")).alias("q")).first()["q"]
     n, n_active = facts["n"], facts["n_active"]
     classifier = None
     if n >= settings.min_classifier_rows and 0 < n_active < n:
@@ -93,45 +96,60 @@ def train(rows: DataFrame, settings: ModelSettings = ModelSettings()) -> Minutes
             maxDepth=settings.forest_depth, minInstancesPerNode=settings.min_leaf,
             seed=settings.seed, leafCol="leaf",
         ).fit(active)
-        leaves = (
-            _by_tree(forest.transform(active))
-            .groupBy("tree", "leaf_id")
-            .agg(F.percentile("actual_minutes", list(QUANTILES)).alias("q"))
-        )
-    constants = tuple(facts["q"]) if facts["q"] else (24.0, 24.0, 24.0)
+        leaves = materialize(_leaf_table(forest.transform(active)), "minutes-leaves")
+    constants = tuple(quantiles) if quantiles else (24.0, 24.0, 24.0)
     model = MinutesModel(
         features, classifier, (n_active / n) if n else 0.95, forest, leaves, constants, halfwidth
     )
     if n_active >= settings.min_conformal_rows:
-        residual = F.abs(F.col("actual_minutes") - F.col("q")[1])
+        # Thousandths of a minute up to 48: the number of distinct residuals is bounded.
+        residual = F.round(F.abs(F.col("actual_minutes") - F.col("q")[1]), 3)
         level = max(0.5, min(0.995, settings.conformal_quantile))
-        width = (
-            _quantiles(model, rows.where("active_target = 1")).agg(F.percentile(residual, level)).first()[0]
+        counts = (
+            _quantiles(model, rows.where("active_target = 1"))
+            .groupBy(residual.alias("residual"))
+            .agg(F.count(F.lit(1)).alias("n"))
         )
+        width = counts.agg(F.percentile("residual", level, F.col("n"))).first()[0]
         halfwidth = max(1.0, min(20.0, width)) if width is not None else 4.0
+    data.unpersist()
     return MinutesModel(
         features, classifier, model.active_rate, forest, leaves, constants, round(halfwidth, 6)
     )
 
 
-def _by_tree(scored: DataFrame) -> DataFrame:
-    """One row per input row and tree, with the leaf it falls into."""
-    return scored.withColumn("leaf_ids", vector_to_array("leaf")).select(
-        *[c for c in scored.columns if c not in ("leaf", "features", "prediction")],
-        F.posexplode("leaf_ids").alias("tree", "leaf_id"),
+def _leaf_table(scored: DataFrame) -> DataFrame:
+    """One row: by tree, by leaf, the quantiles of the minutes of the rows that fall into it."""
+    by_leaf = (
+        scored.select("actual_minutes", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id"))
+        .withColumn("leaf_id", F.col("leaf_id").cast("int"))
+        .groupBy("tree", "leaf_id", "actual_minutes")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("tree", "leaf_id")
+        .agg(F.percentile("actual_minutes", list(QUANTILES), F.col("n")).alias("q"))
+    )
+    by_tree = by_leaf.groupBy("tree").agg(
+        F.map_from_entries(F.collect_list(F.struct("leaf_id", "q"))).alias("leaves")
     )
+    return by_tree.agg(F.map_from_entries(F.collect_list(F.struct("tree", "leaves"))).alias("trees"))
 
 
 def _quantiles(model: MinutesModel, rows: DataFrame) -> DataFrame:
     """Rows with the sorted array ``q`` of raw quantiles."""
     if model.forest is None:
         return rows.withColumn("q", F.array(*[F.lit(float(c)) for c in sorted(model.constants)]))
-    keyed = model.features.transform(_as_doubles(rows))
-    trees = _by_tree(model.forest.transform(keyed.select("player_id", "game_id", "team_id", "features")))
-    joined = trees.join(model.leaves, ["tree", "leaf_id"])
-    mean = [F.avg(F.col("q")[i]) for i in range(3)]
-    averaged = joined.groupBy("player_id", "game_id", "team_id").agg(F.array_sort(F.array(*mean)).alias("q"))
-    return rows.join(averaged, ["player_id", "game_id", "team_id"])
+    scored = model.forest.transform(model.features.transform(_as_doubles(rows)))
+    read = F.transform(
+        vector_to_array("leaf"),
+        lambda leaf, tree: F.try_element_at(F.try_element_at(F.col("trees"), tree), leaf.cast("int")),
+    )
+    found = scored.crossJoin(F.broadcast(model.leaves)).withColumn("by_tree", F.filter(read, lambda q: q.isNotNull()))
+
+    def mean(i: int):
+        total = F.aggregate(F.transform("by_tree", lambda q: q[i]), F.lit(0.0), lambda a, x: a + x)
+        return total / F.size("by_tree")
+
+    return found.withColumn("q", F.array_sort(F.array(*[mean(i) for i in range(3)]))).select(*rows.columns, "q")
 
 
 def predict(

@@ -406,14 +406,17 @@ def clean_verify(spark, sf):
 
 
 def _model(spark, sf):
-    frame = stage(
-        spark, sf, "minutes_features",
-        lambda: minutes.with_eval_flag(minutes.feature_frame(b.boxscore(spark, sf)), 7),
-    )
-    # Fewer boosting rounds than the library default keep the check short.
-    settings = minutes_model.ModelSettings(classifier_rounds=10)
-    model = minutes_model.train(frame.where(~F.col("is_eval")), settings)
-    return minutes_model.predict(model, frame.where("is_eval"), ("player_points", "player_rebounds"))
+    """Predictions for the last week; the model is fitted once and its predictions are written."""
+
+    def fitted():
+        frame = stage(
+            spark, sf, "minutes_features",
+            lambda: minutes.with_eval_flag(minutes.feature_frame(b.boxscore(spark, sf)), 7),
+        )
+        model = minutes_model.train(frame.where(~F.col("is_eval")))
+        return minutes_model.predict(model, frame.where("is_eval"), ("player_points", "player_rebounds"))
+
+    return stage(spark, sf, "minutes-predictions", fitted)
 
 
 @register(
