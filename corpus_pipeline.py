@@ -23,9 +23,8 @@ BROADCAST_IDS = 1_000_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rejected documents and, in the others, the lines that fail."""
-    kept = quality.quality_rules(docs).filter("kept")
-    cleaned = kept.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")})
-    return cleaned.select(docs.columns)
+    kept = quality.clean_documents(docs)
+    return kept.withColumns({"n_chars": F.length("text").cast("long")}).select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.session import materialize
+
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BARS = "|›»·•¦"
@@ -191,6 +193,23 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = LineRu
     return judged.withColumns({"kept": ~F.col("base_failed") & F.col("line_kept")}).drop("line_kept")
 
 
+def clean_documents(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """Kept rows with their input columns, ``text`` being the cleaned one.
+
+    The verdict is written before it filters: pushed below the projections, the filter would hold all their
+    nested expressions many times over, which takes the optimizer beyond any time.
+    """
+    # Under neutral names, since input columns may be called like results.
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own = f"c{docs.columns.index(text)}"
+    held = quality_rules(inner, own, rules).select(
+        F.col("kept").alias("keep"),
+        *[(F.col("clean_text") if c == own else F.col(c)).alias(c) for c in inner.columns],
+    )
+    written = materialize(held, "judged")
+    return written.filter("keep").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 # The same rules in DuckDB SQL, for the default parameters.
 BASE_SQL = """
 words_ as (
