@@ -34,13 +34,16 @@ from pyspark.sql import functions as F
 from oddsloom.session import materialize
 
 TREE_ROWS = 8192
-BLOCK_ROWS = 256
-PAGE = 64
+BLOCK_ROWS = 1024
+PAGE = 512
 
 
 @dataclass
 class Page:
-    """Entries of a node; children are pages (inner) or None (leaf: ``ids`` and ``rows``)."""
+    """Entries of a node; children are pages (inner) or None (leaf: ``ids`` and ``rows``).
+
+    Rows are whole numbers kept as doubles: products and sums below 2 to the 53 are exact, and fast.
+    """
 
     routes: np.ndarray  # entries x (dimension + 1)
     parent: np.ndarray  # distance of each entry to the page's own routing vector
@@ -56,9 +59,11 @@ class MTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, page: int = PAGE):
         self.page = page
         order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], rows[order].astype(np.int64)
-        norms = (rows * rows).sum(axis=1)
-        self.limit = int(norms.max())
+        ids, rows = ids[order], rows[order].astype(np.float64)
+        norms = np.einsum("ij,ij->i", rows, rows)
+        if norms.max() >= 2**52:
+            raise ValueError("squared norms must stay below 2**52")
+        self.limit = norms.max()
         points = np.concatenate([rows, np.sqrt(self.limit - norms)[:, None]], axis=1)
         self.root = self._load(ids, rows, points, points.mean(axis=0))
 
@@ -71,22 +76,14 @@ class MTree:
         if len(ids) <= self.page:
             away = self._distance(points, centre)
             return Page(points, away, np.zeros(len(ids)), None, ids, rows)
-        # Routing vectors far from each other; each point goes to the nearest.
-        want = min(self.page, -(-len(ids) // self.page))
-        picked = [0]
-        gap = self._distance(points, points[0])
-        while len(picked) < want and gap.max() > 0:
-            picked.append(int(gap.argmax()))
-            gap = np.minimum(gap, self._distance(points, points[picked[-1]]))
-        if len(picked) < 2:  # equal points: any split does
-            parts = np.array_split(np.arange(len(ids)), want)
-        else:
-            flat = points[picked]
-            near = ((points**2).sum(1)[:, None] - 2 * points @ flat.T + (flat**2).sum(1)[None]).argmin(1)
-            parts = [np.flatnonzero(near == c) for c in range(len(picked))]
-            parts = [p for p in parts if len(p)]
-            if len(parts) < 2:
-                parts = np.array_split(np.arange(len(ids)), want)
+        # Routing vectors at equal steps of the id order; each point goes to the nearest.
+        want = min(self.page, 2 * -(-len(ids) // self.page))
+        picked = np.unique(np.linspace(0, len(ids) - 1, want).astype(int))
+        flat = points[picked]
+        near = ((flat**2).sum(1)[None] - 2 * points @ flat.T).argmin(1)
+        parts = [p for p in np.split(np.argsort(near, kind="stable"), np.cumsum(np.bincount(near))[:-1]) if len(p)]
+        if max(len(p) for p in parts) > len(ids) // 2:  # many equal points: any split does
+            parts = np.array_split(np.argsort(near, kind="stable"), want)
         routes = np.stack([points[p].mean(axis=0) for p in parts])
         radius = np.array([self._distance(points[p], r).max() for p, r in zip(parts, routes)])
         children = [self._load(ids[p], rows[p], points[p], r) for p, r in zip(parts, routes)]
@@ -94,45 +91,55 @@ class MTree:
 
     def search(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best, best first; ids equal to ``own_id`` are passed over."""
-        point = np.append(query.astype(np.float64), 0.0)
-        whole = float((query.astype(np.int64) ** 2).sum() + self.limit)
+        query = query.astype(np.float64)
+        point = np.append(query, 0.0)
+        whole = float(query @ query) + self.limit
+        slack = 1e-9 * whole + 1e-6
 
         def best_score(distance: np.ndarray) -> np.ndarray:
-            return (whole - np.maximum(distance, 0.0) ** 2) / 2 + 1e-9 * whole + 1e-6
+            """Most that a vector at this distance, or further away, can score."""
+            near = np.maximum(distance - 1e-7 * (1 + np.abs(distance)), 0.0)
+            return (whole - near * near) / 2 + slack
 
-        found: list[tuple[int, int]] = []  # heap of (score, -id)
-        queue: list[tuple[float, int, float, Page]] = [(-np.inf, 0, 0.0, self.root)]
+        found: list[tuple[float, int]] = []  # heap of (score, -id)
+        queue: list[tuple[float, int, float, Page]] = [(-np.inf, 0, np.nan, self.root)]
         tick = 0
-        first = True
         while queue:
             bound, _, to_centre, page = heapq.heappop(queue)
-            if len(found) == k and -bound < found[0][0]:
+            full = len(found) == k
+            if full and -bound < found[0][0]:
                 break
-            keep = np.arange(len(page.parent))
-            if not first and len(found) == k:
+            keep = None
+            if full and to_centre == to_centre:
                 # Stored distances alone: no distance of the page's entries is computed yet.
-                reach = best_score(np.abs(to_centre - page.parent) - page.radius - 1e-7 * (1 + to_centre))
-                keep = keep[reach >= found[0][0]]
-            first = False
-            if not len(keep):
-                continue
+                reach = best_score(np.abs(to_centre - page.parent) - page.radius)
+                keep = np.flatnonzero(reach >= found[0][0])
+                if not len(keep):
+                    continue
             if page.children is None:
-                scores = page.rows[keep] @ query
-                for score, vec in zip(scores.tolist(), page.ids[keep].tolist()):
-                    if vec == own_id:
-                        continue
+                rows, ids = (page.rows, page.ids) if keep is None else (page.rows[keep], page.ids[keep])
+                scores = rows @ query
+                good = ids != own_id
+                if full:
+                    good &= scores >= found[0][0]
+                at = np.flatnonzero(good)
+                if len(at) > k:
+                    at = at[np.lexsort((ids[at], -scores[at]))[:k]]
+                for score, vec in zip(scores[at].tolist(), ids[at].tolist()):
                     if len(found) < k:
                         heapq.heappush(found, (score, -vec))
                     elif (score, -vec) > found[0]:
                         heapq.heapreplace(found, (score, -vec))
             else:
+                keep = np.arange(len(page.children)) if keep is None else keep
                 away = self._distance(page.routes[keep], point)
-                reach = best_score(away - page.radius[keep] - 1e-7 * (1 + away))
+                reach = best_score(away - page.radius[keep])
+                least = found[0][0] if full else -np.inf
                 for i, distance, score in zip(keep.tolist(), away.tolist(), reach.tolist()):
-                    if len(found) < k or score >= found[0][0]:
+                    if score >= least:
                         tick += 1
                         heapq.heappush(queue, (-score, tick, distance, page.children[i]))
-        return [(score, -vec) for score, vec in sorted(found, reverse=True)]
+        return [(int(score), -vec) for score, vec in sorted(found, reverse=True)]
 
 
 def quantized(embedding: Column) -> Column:
