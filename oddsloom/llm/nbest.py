@@ -5,10 +5,11 @@ matches. Forward Viterbi scores give, for each position, the best score from the
 backwards, ordered by its own score plus the forward score, is A* with an exact heuristic: its paths come
 out best first.
 
-No piece of such a model has a space mark after another character, so the lattice falls apart into units (a
-run of spaces and what follows up to the next space). Units recur; each is solved once per worker: its best
-path, and by how much its second path is worse. For the n best paths of a text only the n - 1 units with the
-smallest such loss can matter, for each of them alone already gives n - 1 paths that are no worse than any
+No piece of such a model has a space mark after another character, and none puts Latin letters and other
+characters together (both are checked when the model is read). So the lattice falls apart into units: a run of
+Latin letters or of other characters, with the spaces before it. Units recur; each is solved once per worker:
+its best path, and by how much its second path is worse. For the n best paths of a text only the n - 1 units with
+the smallest such loss can matter, for each of them alone already gives n - 1 paths that are no worse than any
 path that changes another unit. So A* runs on these units, and their lists are merged.
 
 Scores are whole numbers and sums are exact. A character that no piece covers is spelt in byte pieces, at the
@@ -32,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.llm.byte_pair import LATIN
 from oddsloom.llm.shingles import slices
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 800_000
 LONGEST_CACHED = 48
 MARK = "▁"
-UNIT = re.compile(" *[^ ]+| +")
+UNIT = re.compile(f" *(?:[{LATIN}]+|[^{LATIN} ]+)| +")
 NO_OTHER = 1 << 62
 
 
@@ -69,21 +71,42 @@ class Lattice:
                 node[""] = (score, (i,))
                 if score > -(10**8):
                     lowest = min(lowest, score)
-                if MARK in piece.lstrip(MARK):
+                if len(UNIT.findall(piece.replace(MARK, " "))) != 1:
                     raise ValueError(f"piece {piece!r} spans units")
         self.unknown = lowest - 10
         self.units: dict[str, tuple[bytes, int, int]] = {}
 
-    def edges(self, unit: str) -> tuple[list[tuple], list[int], list[int]]:
-        """Edges (start, end, score, ids) by start, the best score up to each position, and its last edge."""
+    def edges(self, unit: str) -> list[tuple]:
+        """Edges (start, end, score, ids) of the unit's lattice, by start."""
+        text = unit.replace(" ", MARK)
+        out: list[tuple] = []
+        for i in range(len(text)):
+            node, known = self.trie, False
+            for j in range(i, len(text)):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                if "" in node:
+                    known = known or j == i
+                    out.append((i, j + 1, *node[""]))
+            if not known:
+                spelt = tuple([self.byte_ids[b] for b in text[i].encode()])
+                out.append((i, i + 1, self.unknown, spelt))
+        return out
+
+    def solve(self, unit: str) -> tuple[bytes, int, int]:
+        """Ids (unsigned 32-bit) and score of the best path, and how much worse the second one is.
+
+        The forward pass keeps the two best scores up to each position, of different paths.
+        """
         text = unit.replace(" ", MARK)
         n = len(text)
         best = [0] + [-NO_OTHER] * n
-        via = [-1] * (n + 1)
-        edges: list[tuple] = []
-        root, ends = self.trie, range(n)
-        for i in ends:
-            so_far = best[i]
+        second = [-NO_OTHER] * (n + 1)
+        via: list[tuple] = [()] * (n + 1)
+        root = self.trie
+        for i in range(n):
+            top, next_ = best[i], second[i]
             node, known = root, False
             for j in range(i, n):
                 node = node.get(text[j])
@@ -91,55 +114,49 @@ class Lattice:
                     break
                 found = node.get("")
                 if found is not None:
-                    known = known or j == i
-                    total = so_far + found[0]
-                    if total > best[j + 1]:
-                        best[j + 1] = total
-                        via[j + 1] = len(edges)
-                    edges.append((i, j + 1, found[0], found[1]))
+                    score, ids = found
+                    j += 1
+                    if j == i + 1:
+                        known = True
+                    total = top + score
+                    if total > best[j]:
+                        other = best[j]
+                        best[j] = total
+                        via[j] = (i, ids)
+                        if next_ + score > other:
+                            other = next_ + score
+                    else:
+                        other = total
+                    if other > second[j]:
+                        second[j] = other
             if not known:
-                total = so_far + self.unknown
+                ids = tuple([self.byte_ids[b] for b in text[i].encode()])
+                total, other = top + self.unknown, next_ + self.unknown
                 if total > best[i + 1]:
+                    other = max(other, best[i + 1])
                     best[i + 1] = total
-                    via[i + 1] = len(edges)
-                spelt = tuple([self.byte_ids[b] for b in text[i].encode()])
-                edges.append((i, i + 1, self.unknown, spelt))
-        return edges, best, via
-
-    def solve(self, unit: str) -> tuple[bytes, int, int]:
-        """Ids (unsigned 32-bit) and score of the best path, and how much worse the second one is."""
-        edges, best, via = self.edges(unit)
-        end = len(best) - 1
-        path = []
-        at = end
+                    via[i + 1] = (i, ids)
+                else:
+                    other = total
+                second[i + 1] = max(second[i + 1], other)
+        parts = []
+        at = n
         while at:
-            path.append(via[at])
-            at = edges[via[at]][0]
-        ids: list[int] = []
-        for e in reversed(path):
-            ids += edges[e][3]
-        # Every other path has an edge off the best one; the best path through an edge is its start's best
-        # score, its own, and the best from its end on.
-        total, loss = best[end], NO_OTHER
-        after = [-NO_OTHER] * end + [0]
-        on_path = set(path)
-        for e in range(len(edges) - 1, -1, -1):
-            start, stop, score, _ = edges[e]
-            score += after[stop]
-            if score > after[start]:
-                after[start] = score
-            if e not in on_path:
-                less = total - best[start] - score
-                if less < loss:
-                    loss = less
-        return array("I", ids).tobytes(), total, loss
+            at, ids = via[at]
+            parts.append(ids)
+        out = array("I")
+        for ids in reversed(parts):
+            out.extend(ids)
+        loss = best[n] - second[n]
+        return out.tobytes(), best[n], loss if loss < NO_OTHER // 2 else NO_OTHER
 
     def paths(self, unit: str, n: int) -> list[tuple[int, bytes]]:
         """Loss and ids of the n best paths of a unit, by A* from its end."""
-        edges, best, _ = self.edges(unit)
+        best = [0] + [-NO_OTHER] * len(unit)
         into: list[list[tuple]] = [[] for _ in best]
-        for edge in edges:
+        for edge in self.edges(unit):
             into[edge[1]].append(edge)
+            best[edge[1]] = max(best[edge[1]], best[edge[0]] + edge[2])
         total = best[-1]
         queue: list[tuple[int, int, int, int, tuple]] = [(0, 0, len(best) - 1, 0, ())]
         tick, out = 0, []
