@@ -115,8 +115,9 @@ def preference_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "
 def with_borrowed_replies(convs: DataFrame, block: int = 256) -> DataFrame:
     """Pairs from plain conversations: the rejected side ends in another conversation's last reply.
 
-    Conversations are taken in blocks of ``block`` ids; each borrows from the next one of its block, the last
-    from the first. A conversation without a reply, or alone in its block, has an equal rejected side.
+    Conversations are taken in blocks of ``block`` ids; each borrows from the next one of its block that has a
+    reply, the last from the first. A conversation without a reply, or the only one with a reply in its block,
+    has an equal rejected side.
     """
     places = F.filter(
         F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull()
@@ -127,8 +128,9 @@ def with_borrowed_replies(convs: DataFrame, block: int = 256) -> DataFrame:
     )
     in_block = Window.partitionBy(F.floor(F.col("conv_id") / block)).orderBy("conv_id")
     whole = in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    later = in_block.rowsBetween(1, Window.unboundedFollowing)
     borrowed = F.coalesce(
-        F.lead("__reply").over(in_block), F.first("__reply", ignorenulls=True).over(whole)
+        F.first("__reply", ignorenulls=True).over(later), F.first("__reply", ignorenulls=True).over(whole)
     )
     staged = staged.withColumns({"__borrowed": borrowed})
     return staged.select(
@@ -154,7 +156,8 @@ placed as (
   from convs),
 borrowed_ as (
   select conv_id, turns, last,
-         coalesce(lead(case when last > 0 then turns[last] end) over w,
+         coalesce(first(case when last > 0 then turns[last] end ignore nulls)
+                    over (w rows between 1 following and unbounded following),
                   first(case when last > 0 then turns[last] end ignore nulls)
                     over (w rows between unbounded preceding and unbounded following)) as reply
   from placed window w as (partition by conv_id // 256 order by conv_id)),
