@@ -75,7 +75,7 @@ def write_days(df: DataFrame, path: str, overwrite: bool) -> None:
         again = df.select(F.col("day").cast("string").alias("day")).distinct().join(there, "day", "left_semi")
         clash = [row["day"] for row in again.limit(5).collect()]
         if clash:
-            raise FileExistsError(f"{path} holds {', '.join(clash)}")
+            raise FileExistsError(f"{path} already exists for {', '.join(clash)}")
     writer.mode("append").parquet(path)
 
 

@@ -97,3 +97,19 @@ def test_recipes_compose_and_stay_unique():
     assert len(recipes.RECIPES) == 20
     with pytest.raises(ValueError):
         recipes.registry({"S001": recipes.Recipe()})
+
+
+def test_day_sink_adds_days_that_do_not_exist(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    for day in ("2026-01-01", "2026-01-02"):
+        files.write_days(spark.createDataFrame([(day, 1)], "day string, v int"), path, overwrite=False)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_result_player_last_row_wins(spark):
+    body = (
+        '{"game": {"gameId": "g", "homeTeam": {"teamName": "A", "players": [{"name": "Zed Az"}, {"name": "Zed AZ", '
+        '"status": "ACTIVE"}]}, "awayTeam": {"teamName": "B", "players": [{"name": "Zed az", "status": "INACTIVE"}]}}}'
+    )
+    rows = payloads.result_players(spark.createDataFrame([(body,)], "body string")).collect()
+    assert [(r.player, r.status) for r in rows] == [("Zed az", "INACTIVE")]
