@@ -9,6 +9,7 @@ from oddsloom.plans import bindings as b
 from oddsloom.plans.catalog import candidates_stage, portfolio_stage, r6, raw_candidates_stage, register
 from oddsloom.plans.oracles import CTES
 from oddsloom.plans.queries_reports import CAND, CAND_SQL, ORDER
+from oddsloom.sources import resources
 
 # --- selections and plans ---------------------------------------------------------------
 
@@ -432,3 +433,63 @@ def game_results(spark, sf):
     players = b.results(spark, sf).where(digit % 3 != 0).withColumnRenamed("event_id", "game_id")
     failed = games.where(F.right("game_id", F.lit(1)) == "3").withColumn("error", F.lit("timeout"))
     return rosters.game_results(games, players, failed)
+
+
+# --- resources --------------------------------------------------------------------------
+
+
+def _resource_bodies(spark, sf):
+    """Events as payloads of five shapes: list, two keys, an empty key before a filled one, and one object."""
+    item = "concat('{{\"eventnum\": \"', event_id{n}, '\", \"teamId\": \"t', user_id % 5, '\"{game}}}')"
+    one, two = item.format(n="", game=""), item.format(n=" + 1", game=", \"game_id\": \"own\"")
+    body = (
+        f"case event_id % 5 when 0 then concat('[', {one}, ',', {two}, ', 3]') when 1 then concat('{{\"events\": [', {one}, ']}}') "
+        f"when 2 then concat('{{\"events\": [], \"data\": [', {one}, ',', {two}, ']}}') when 3 then concat('{{\"possessions\": [', {two}, ']}}') else {one} end"
+    )
+    return b.table(spark, sf, "events").selectExpr("concat('g', event_id) as game_id", f"{body} as body")
+
+
+@register(
+    "resource_rows", "game_id event_num team_id",
+    "select case when k = 1 then 'own' else 'g' || e end as game_id, cast(e + k as varchar) as event_num, t as team_id from (select event_id as e, 't' || (user_id % 5) as t, "
+    "unnest(case event_id % 5 when 0 then [0, 1] when 1 then [0] when 2 then [0, 1] when 3 then [1] else [0] end) as k from events)",
+)
+def resource_rows(spark, sf):
+    rows = resources.resource_rows(_resource_bodies(spark, sf))
+    return resources.aliased(rows, resources.EVENT_ALIASES, ("game_id",))
+
+
+@register(
+    "day_range", "o_orderpriority day",
+    "select o_orderpriority, cast(cast(unnest(generate_series(f, t, interval 1 day)) as date) as varchar) as day from "
+    "(select o_orderpriority, cast(min(o_orderdate) as date) as f, cast(min(o_orderdate) as date) + cast(count(*) % 40 as integer) as t from orders group by 1)",
+)
+def day_range(spark, sf):
+    first = F.min(F.col("o_orderdate").cast("date"))
+    ranges = b.table(spark, sf, "orders").groupBy("o_orderpriority").agg(
+        first.alias("from_day"), F.date_add(first, (F.count(F.lit(1)) % 40).cast("int")).alias("to_day")
+    )
+    return resources.day_range(ranges)
+
+
+@register(
+    "expected_requests", "event_id path markets bookmakers regions date",
+    "select event_id, '/sports/basketball_nba/events/' || event_id || '/odds' as path, 'a,b' as markets, 'x,y' as bookmakers, cast(null as varchar) as regions, "
+    "strftime(commence_time, '%Y-%m-%dT%H:%M:%SZ') as date from fx_context",
+)
+def expected_requests(spark, sf):
+    events = b.event_context(spark, sf).withColumn("day", F.col("commence_time").cast("date"))
+    return resources.expected_requests(events, "basketball_nba", ["b", "a", "b"], ["y", "x"])
+
+
+@register(
+    "valid_mirrors", "path valid",
+    "select 'f' || event_id as path, event_id % 4 in (0, 1) as valid from events",
+)
+def valid_mirrors(spark, sf):
+    content = F.expr(
+        "case event_id % 4 when 0 then '{\"a\": 1}' when 1 then '{\"a\": 1}\n\n{\"b\": \"x\"}\n' when 2 then ' \n' else '{\"a\": 1}\n[2]' end"
+    )
+    return resources.valid_mirrors(
+        b.table(spark, sf, "events").select(F.expr("concat('f', event_id)").alias("path"), content.alias("content"))
+    )
