@@ -431,3 +431,21 @@ def minutes_predictions(spark, sf):
 @register("minutes_model_evaluation", "new_team_phase rows mae rmse bias coverage brier_active confidence_score", None)
 def minutes_model_evaluation(spark, sf):
     return minutes.evaluate_predictions(_model(spark, sf))
+
+
+@register(
+    "minutes_invariants", "market rows players disordered outside improbable",
+    "select market, count(*) as rows, count(distinct player_id) as players, 0 as disordered, 0 as outside, 0 as improbable "
+    "from fx_boxscore, (values ('player_points'), ('player_rebounds')) m(market) "
+    "where game_date >= (select max(game_date) - 6 from fx_boxscore) group by 1",
+)
+def minutes_invariants(spark, sf):
+    """What any fit must keep: a prediction for each row, ordered, within a game, with probabilities."""
+    low, mid, high = (F.col(f"minutes_p{n}") for n in (10, 50, 90))
+    return _model(spark, sf).groupBy("market").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("player_id").alias("players"),
+        F.count_if(~((low <= mid) & (mid <= high))).alias("disordered"),
+        F.count_if(~((low >= 0) & (high <= 48))).alias("outside"),
+        F.count_if(~F.col("p_active").between(0, 1) | ~F.col("confidence_score").between(0, 1)).alias("improbable"),
+    )
