@@ -16,7 +16,7 @@ import re
 from array import array
 from functools import lru_cache
 
-CACHED_SEGMENTS = 1_000_000
+CACHED_SEGMENTS = 700_000
 #: Longer segments are encoded but not kept, so the cache stays small.
 LONGEST_CACHED = 64
 
