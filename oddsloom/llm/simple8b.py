@@ -5,7 +5,7 @@ packing takes at each place the selector with most ids. Ids are packed in blocks
 of its own, so that blocks can be decoded apart. Ids too wide for the widest selector are escapes: a 0
 stands in the word, and the block lists their places and values.
 
-Packing and unpacking are array operations; only the walk from word to word is a loop.
+Packing and unpacking are array operations; blocks are walked side by side.
 """
 
 from __future__ import annotations
@@ -34,34 +34,63 @@ class Block:
     values: np.ndarray
 
 
+def _classes(ids: np.ndarray) -> np.ndarray:
+    """The narrowest selector that is wide enough for each id."""
+    limits = np.array([1 << bits for _, bits in SELECTORS[:-1]], np.uint64)
+    if int(ids.max()) < 1 << 16:  # a table does it
+        table = np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+        return table[ids.astype(np.uint16)]
+    return np.searchsorted(limits, ids, side="right").astype(np.uint8)
+
+
+def _runs(good: np.ndarray, count: int) -> np.ndarray:
+    """Where ``count`` true values follow each other, as a mask of their first places."""
+    n = len(good)
+    if n < count:
+        return np.zeros(n, bool)
+    places = np.flatnonzero(good) if np.count_nonzero(good) < n // 8 else None
+    if places is not None:
+        out = np.zeros(n, bool)
+        first = places[: max(len(places) - count + 1, 0)]
+        out[first[places[count - 1 :] - first == count - 1]] = True
+        return out
+    out, span = good, 1
+    while span < count:
+        step = min(span, count - span)
+        shifted = np.zeros(n, bool)
+        np.logical_and(out[: n - step], out[step:], out=shifted[: n - step])
+        out = shifted
+        span += step
+    return out
+
+
 def _starts(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Where words start, and their selectors. A word never runs over the end of a block."""
     n = len(ids)
-    width = np.zeros(n, np.uint8)
-    for _, bits in SELECTORS[:-1]:
-        width += ids >= (np.uint64(1) << np.uint64(bits))  # class 0 fits the narrowest selector
-    # Ids of a block that are left at each place.
-    left = np.minimum(block - np.arange(n) % block, n - np.arange(n))
-    chosen = np.full(n, len(SELECTORS) - 1, np.uint8)
-    for s in range(len(SELECTORS) - 2, -1, -1):
-        count = SELECTORS[s][0]
-        fits = width <= s
-        span = 1
-        while span < count:  # fits[i]: the ids i .. i + span - 1 fit
-            step = min(span, count - span)
-            shifted = np.zeros_like(fits)
-            shifted[: n - step] = fits[step:]
-            fits = fits & shifted
-            span += step
-        fits &= left >= count
-        chosen[fits] = s
-    jump = np.array([c for c, _ in SELECTORS], np.int64)[chosen].tolist()
-    at, starts = 0, []
-    add = starts.append
-    while at < n:
-        add(at)
-        at += jump[at]
-    starts = np.array(starts, np.int64)
+    needed = _classes(ids)
+    # Ids of the block that are left at each place, no more than a word can hold.
+    most = SELECTORS[0][0]
+    pattern = np.minimum(np.arange(block, 0, -1), most).astype(np.uint8)
+    left = np.tile(pattern, -(-n // block))[:n]
+    left[max(0, n - most) :] = np.minimum(left[max(0, n - most) :], np.arange(min(n, most), 0, -1))
+    last = len(SELECTORS) - 1
+    chosen = np.full(n, last, np.uint8)
+    for s, (count, _) in enumerate(SELECTORS[:-1]):
+        fits = _runs(needed <= s, count) & (left >= count)
+        # The first selector that fits holds most ids.
+        np.minimum(chosen, np.uint8(s) + np.uint8(last) * (~fits).view(np.uint8), out=chosen)
+    # From word to word in all blocks side by side.
+    jump = np.array([c for c, _ in SELECTORS], np.int64)
+    is_start = np.zeros(n, bool)
+    at = np.arange(0, n, block)
+    ends = np.minimum(at + block, n)
+    while len(at):
+        is_start[at] = True
+        at = at + jump[chosen[at]]
+        inside = at < ends
+        if not inside.all():
+            at, ends = at[inside], ends[inside]
+    starts = np.flatnonzero(is_start)
     return starts, chosen[starts]
 
 
