@@ -39,7 +39,8 @@ from oddsloom.llm.shingles import slices
 CACHED_UNITS = 800_000
 LONGEST_CACHED = 48
 MARK = "▁"
-UNIT = re.compile(f" *(?:[{LATIN}]+|[^{LATIN} ]+)| +")
+#: A mark that stands in a text is to the lattice what a space is.
+UNIT = re.compile(f"[ {MARK}]*(?:[{LATIN}]+|[^{LATIN} {MARK}]+)|[ {MARK}]+")
 NO_OTHER = 1 << 62
 
 
