@@ -159,10 +159,11 @@ class Lattice:
             into[edge[1]].append(edge)
             best[edge[1]] = max(best[edge[1]], best[edge[0]] + edge[2])
         total = best[-1]
-        queue: list[tuple[int, int, int, int, tuple]] = [(0, 0, len(best) - 1, 0, ())]
+        # Among equals the path that is nearest to its end goes first; else all equal paths would grow together.
+        queue: list[tuple[int, int, int, int, tuple]] = [(0, len(best) - 1, 0, 0, ())]
         tick, out = 0, []
         while queue and len(out) < n:
-            loss, _, at, score, ids = heapq.heappop(queue)
+            loss, at, _, score, ids = heapq.heappop(queue)
             if at == 0:
                 out.append((loss, array("I", ids).tobytes()))
                 continue
@@ -170,7 +171,7 @@ class Lattice:
                 tick += 1
                 heapq.heappush(
                     queue,
-                    (total - best[start] - score - gain, tick, start, score + gain, own + ids),
+                    (total - best[start] - score - gain, start, tick, score + gain, own + ids),
                 )
         return out
 
