@@ -6,9 +6,7 @@ so most are looked up and only new ones go through the library.
 
 Two rules of cutting are used. In a text of Latin letters without apostrophes (contractions) and without
 unusual white space, a run of letters with the one space before it is a piece of its own. In other texts a
-piece starts at each single space between two characters that are no white space. A text with neither, such as one
-with runs of spaces, is encoded whole.
-"""
+piece starts at each single space between two characters that are no white space. A text with neither, such """
 
 from __future__ import annotations
 
@@ -49,8 +47,16 @@ class ByteEncoder:
         tokenizer = Tokenizer.from_file(path)
         # The fast form leaves out character offsets, which nothing reads here.
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
 
+    def cut(self, text: str) -> list[str]:
+        """Segments of a text; the whole where an added token stands in it."""
+        for literal in self.added:
+            if literal in text:
+                return [text]
+        return segments(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
         cache = self.cache
@@ -60,7 +66,7 @@ class ByteEncoder:
         waiting: list[tuple[int, list[str], list, list[int]]] = []
         fresh: set[str] = set()
         for at, text in enumerate(texts):
-            cut = segments(text) if text else []
+            cut = self.cut(text) if text else []
             found = list(map(cache.get, cut))
             if None in found:
                 missing = [i for i, ids in enumerate(found) if ids is None]

@@ -63,6 +63,19 @@ def test_segments_give_the_ids_of_the_whole(encoder, tokenizer, texts):
     assert found == whole
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "endoftext", "|>", " ", "\n", "word", "'s", "é", "日"]), max_size=9))
+def test_added_tokens_are_taken_whole(encoder, tokenizer, parts):
+    text = "".join(parts)
+    whole = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole
+
+
+def test_added_token_between_latin_words(encoder):
+    found = encoder.encode(["hello <|endoftext|> world"])
+    assert np.frombuffer(found[0], "<u4").tolist() == [31373, 220, 50256, 995]
+
+
 @settings(max_examples=60, deadline=None)
 @given(
     st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 70_000) | st.integers(0, 3), max_size=400),
