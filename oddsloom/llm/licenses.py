@@ -6,6 +6,10 @@ chance ``1 - (1 - s^rows)^bands``. A window that holds 80 % of the template's sh
 16 bands of 2 values find with a chance of 0.9999. What meets is verified: the share of the template's
 shingles that the window holds must reach ``percent``.
 
+Punctuation at the ends of words does not count. A template of few words allows no other word (at four shingles
+one miss is 75 %), and should not: the word may be the one that names the license. Such licenses have several
+templates, their usual wordings; the best window of any of them is told.
+
 The MinHash values of all windows of a batch are sliding minima over its shingle hashes, so the work grows
 with the text and not with what it holds. A document shorter than a template holds no window of it.
 
@@ -16,7 +20,7 @@ table; only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +45,26 @@ NOTICES = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "proprietary": "All rights reserved.",
 }
+# Further wordings of the short notices. All their words must stand, so a phrase holds the full name and little more.
+WORDINGS = {
+    "Apache-2.0": (
+        "Apache License Version 2.0", "Apache License v2.0", "Apache License 2.0", "Apache Licence 2.0",
+        "Apache Licence Version 2.0", "under Apache 2.0", "under Apache-2.0", "Apache 2.0 License", "Apache-2.0 License",
+    ),
+    "MIT": (
+        "under the MIT License", "under an MIT License", "under a MIT License", "under MIT License",
+        "terms of the MIT License", "conditions of the MIT License", "the MIT License MIT", "under the MIT Licence",
+        "under an MIT Licence", "terms of the MIT Licence", "is MIT licensed",
+    ),
+    "CC-BY-NC-4.0": (
+        "CC BY-NC 4.0", "CC-BY-NC 4.0", "CC BY NC 4.0", "under CC-BY-NC-4.0", "a CC-BY-NC-4.0", "the CC-BY-NC-4.0",
+        "Attribution-NonCommercial 4.0 International", "Attribution-NonCommercial 4.0 License",
+        "Attribution Non-Commercial 4.0 International", "Attribution NonCommercial 4.0 International",
+    ),
+    "proprietary": ("All rights are reserved", "All other rights reserved", "All right reserved"),
+}
+#: Each license with all its wordings.
+ALL_NOTICES = {name: (notice, *WORDINGS.get(name, ())) for name, notice in NOTICES.items()}
 
 
 @dataclass(frozen=True)
@@ -78,13 +102,18 @@ def sliding_minima(values: np.ndarray, widths: list[int]) -> dict[int, np.ndarra
 class Templates:
     """Shingles and band keys of the templates."""
 
-    def __init__(self, notices: dict[str, str], how: Bands):
+    def __init__(self, notices: Mapping[str, str | tuple[str, ...]], how: Bands):
         self.how = how
-        self.names = sorted(notices)
+        wordings = [
+            (name, text)
+            for name in sorted(notices)
+            for text in ([notices[name]] if isinstance(notices[name], str) else notices[name])
+        ]
+        self.names = [name for name, _ in wordings]
         self.widths, self.sets = [], []
         self.seeds = _seeds(how.bands * how.rows)
-        for name in self.names:
-            hashes, _ = word_hashes(pa.array([notices[name]]))
+        for _, text in wordings:
+            hashes, _ = word_hashes(pa.array([text]), trim=True)
             shingles = _shingles(hashes, how.words)
             self.widths.append(len(shingles))
             self.sets.append(np.unique(shingles))
@@ -116,39 +145,44 @@ class Templates:
 
 def scan(
     docs: DataFrame,
-    notices: dict[str, str] = NOTICES,
+    notices: Mapping[str, str | tuple[str, ...]] = NOTICES,
     doc_id: str = "doc_id",
     text: str = "text",
     how: Bands = Bands(),
 ) -> DataFrame:
-    """doc_id, license, passages, first_word and containment (percent) of every document and template found."""
+    """doc_id, license, passages, first_word and containment (percent) of every document and license found.
+
+    ``notices`` gives each license one template or several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(notices, how)
         for batch in batches:
             for rows in slices(batch, 1):
-                hashes, bounds = word_hashes(rows.column(1))
+                hashes, bounds = word_hashes(rows.column(1), trim=True)
                 whole = _shingles(hashes, how.words)
                 # The document of each shingle; windows over the border of two documents don't count.
                 owner = np.searchsorted(bounds, np.arange(len(whole)), side="right") - 1
                 last = bounds[owner + 1] - how.words if len(whole) else bounds[:0]
-                out: list[list] = [[], [], [], [], []]
+                good: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
                 for t, at in enumerate(templates.hits(whole)):
                     width, wanted = templates.widths[t], templates.sets[t]
-                    good: dict[int, list[tuple[int, int]]] = {}
                     for first in at[at + width - 1 <= last[at]].tolist():
                         held = np.isin(wanted, whole[first : first + width]).sum()
                         share = int(100 * held // len(wanted))
                         if share >= how.percent:
-                            good.setdefault(int(owner[first]), []).append((first, share))
-                    for doc, windows in good.items():
-                        apart = 1 + sum(b[0] - a[0] >= width for a, b in zip(windows, windows[1:]))
-                        best = max(windows, key=lambda w: (w[1], -w[0]))
-                        out[0].append(rows.column(0)[doc].as_py())
-                        out[1].append(templates.names[t])
-                        out[2].append(apart)
-                        out[3].append(int(best[0] - bounds[doc]))
-                        out[4].append(best[1])
+                            key = (templates.names[t], int(owner[first]))
+                            good.setdefault(key, []).append((first, share, width))
+                out: list[list] = [[], [], [], [], []]
+                for (name, doc), windows in good.items():
+                    windows.sort()
+                    apart = 1 + sum(b[0] - a[0] >= a[2] for a, b in zip(windows, windows[1:]))
+                    best = max(windows, key=lambda w: (w[1], w[2], -w[0]))
+                    out[0].append(rows.column(0)[doc].as_py())
+                    out[1].append(name)
+                    out[2].append(apart)
+                    out[3].append(int(best[0] - bounds[doc]))
+                    out[4].append(best[1])
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(out, kinds)],

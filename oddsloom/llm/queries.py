@@ -115,7 +115,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.ALL_NOTICES)
 
 
 @register("op10_nbest_segmentation")

@@ -39,6 +39,35 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
     return values, separates
 
 
+@lru_cache(maxsize=1)
+def _punctuation() -> np.ndarray:
+    """Which bytes are ASCII punctuation."""
+    marks = np.zeros(256, bool)
+    marks[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+    return marks
+
+
+def _trimmed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word bounds without punctuation at the ends; a word of nothing else stays as it is.
+
+    Punctuation is that of ASCII, U+2000 to U+203F (quotes, dashes, dots) and the double angle quotes.
+    """
+    marks = _punctuation()[data]
+    at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+    marks[at] = marks[at + 1] = marks[at + 2] = True
+    at = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0xAB) | (data[1:] == 0xBB)))
+    marks[at] = marks[at + 1] = True
+    solid = np.flatnonzero(~marks)
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~marks, out=before[1:])
+    low, high = before[begin], before[end]
+    some = high > low
+    begin, end = begin.copy(), end.copy()
+    begin[some] = solid[low[some]]
+    end[some] = solid[high[some] - 1] + 1
+    return begin, end
+
+
 _held: dict[str, np.ndarray] = {}
 
 
@@ -64,8 +93,11 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
             yield batch.slice(a, b - a)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and where each text's words start (one more at the end)."""
+def word_hashes(texts: pa.Array, trim: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and where each text's words start (one more at the end).
+
+    With ``trim`` punctuation at the ends of words does not count.
+    """
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -87,11 +119,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends[:-1] &= ~inside[1:]
     ends[starts_text[1:] - 1] = inside[starts_text[1:] - 1]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    bounds = np.searchsorted(begin, edges)
+    if trim:
+        begin, end = _trimmed(data, begin, end)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * power[: len(data)], out=sums[1:])
     hashed = (sums[end] - sums[begin]) * inverse[begin]
     hashed = _mix(hashed + (end - begin).astype(np.uint64))
-    return hashed, np.searchsorted(begin, edges)
+    return hashed, bounds
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:

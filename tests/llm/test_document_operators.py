@@ -217,3 +217,37 @@ def test_licenses_against_all_windows(spark):
                 wanted.add((key, name, apart, best[0], best[1]))
     assert {tuple(r) for r in found} == wanted and len(wanted) > 30
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_licenses_in_other_wording_and_punctuation(spark):
+    changed = {
+        "Apache-2.0": "Distributed under the terms of the Apache License, Version 2.0",
+        "MIT": "Distributed under the MIT License",
+        "GPL-3.0": "This book is licensed under the GNU General Public License, version 3",
+        "CC-BY-NC-4.0": "Published under CC BY-NC 4.0",
+        "CC-BY-4.0": "This book is licensed under a Creative Commons Attribution 4.0 International License",
+        "CC-BY-SA-4.0": "This book is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "CC0-1.0": licenses.NOTICES["CC0-1.0"].replace("author", "owner"),
+        "BSD": licenses.NOTICES["BSD"].replace("provided", "granted"),
+        "MPL-2.0": licenses.NOTICES["MPL-2.0"].replace("subject", "bound"),
+        "MIT-text": licenses.NOTICES["MIT-text"].replace("person", "human"),
+        "GPL-notice": licenses.NOTICES["GPL-notice"].replace("program", "library"),
+        "proprietary": "All rights are reserved",
+    }
+    assert set(changed) == set(licenses.NOTICES)
+    rows, wanted = [], set()
+    for i, (name, notice) in enumerate(licenses.NOTICES.items()):
+        for k, text in enumerate([notice.rstrip(".:"), notice.rstrip(".:") + ";", f"({notice}", f"“{notice}”", changed[name]]):
+            rows.append((10 * i + k, f"Some words before. {text} and some after"))
+            wanted.add((10 * i + k, name))
+    rows += [
+        (900, "Released under the BSD License."), (901, "Licensed under CC BY-SA 4.0."), (902, "No rights reserved."),
+        (903, "All rights, and reserved seats -- -- under the MIT -- License"),
+    ]
+    found = licenses.scan(frame(spark, rows), licenses.ALL_NOTICES).collect()
+    got = {(r.doc_id, r.license) for r in found}
+    assert wanted <= got
+    # Notices of like wording meet each other, short ones only themselves.
+    alike = {"CC-BY-4.0", "CC-BY-SA-4.0"}
+    assert all(name in alike for _, name in got - wanted)
+    assert all(2 <= r.first_word <= 9 for r in found)
