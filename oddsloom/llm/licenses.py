@@ -11,7 +11,7 @@ one miss is 75 %), and should not: the word may be the one that names the licens
 templates, their usual wordings; the best window of any of them is told.
 
 The MinHash values of all windows of a batch are sliding minima over its shingle hashes, so the work grows
-with the text and not with what it holds. A document shorter than a template holds no window of it.
+with the text and not with what it holds. A document shorter than a template is one window, verified as it is.
 
 Defined cases: null and empty texts match nothing; overlapping windows that match one template count as
 one passage, of which the best window is told; repeated rows match alike; an empty table gives an empty
@@ -142,6 +142,20 @@ class Templates:
                 found[t].append(np.flatnonzero(keys[width] == np.uint64(self.own[t][band])))
         return [np.unique(np.concatenate(f)) for f in found]
 
+    def short(self, shingles: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Template and document where the whole document is shorter and may hold the wanted share.
+
+        ``shingles`` and ``owner`` leave out shingles over the border of two documents.
+        """
+        for t, (width, wanted) in enumerate(zip(self.widths, self.sets)):
+            least = -(-self.how.percent * len(wanted) // 100)
+            small = (counts < width) & (counts >= least)
+            if small.any():
+                mine = small[owner]
+                held = np.isin(shingles[mine], wanted)
+                enough = np.bincount(owner[mine][held], minlength=len(counts)) >= least
+                yield from ((t, doc) for doc in np.flatnonzero(small & enough).tolist())
+
 
 def scan(
     docs: DataFrame,
@@ -173,6 +187,15 @@ def scan(
                         if share >= how.percent:
                             key = (templates.names[t], int(owner[first]))
                             good.setdefault(key, []).append((first, share, width))
+                inside = np.arange(len(whole)) <= last
+                counts = np.maximum(np.diff(bounds) - how.words + 1, 0)
+                for t, doc in templates.short(whole[inside], owner[inside], counts):
+                    wanted, first = templates.sets[t], int(bounds[doc])
+                    held = np.isin(wanted, whole[first : first + counts[doc]]).sum()
+                    share = int(100 * held // len(wanted))
+                    if share >= how.percent:
+                        key = (templates.names[t], doc)
+                        good.setdefault(key, []).append((first, share, templates.widths[t]))
                 out: list[list] = [[], [], [], [], []]
                 for (name, doc), windows in good.items():
                     windows.sort()

@@ -251,3 +251,16 @@ def test_licenses_in_other_wording_and_punctuation(spark):
     alike = {"CC-BY-4.0", "CC-BY-SA-4.0"}
     assert all(name in alike for _, name in got - wanted)
     assert all(2 <= r.first_word <= 9 for r in found)
+
+
+def test_licenses_in_documents_shorter_than_the_template(spark):
+    gpl = "work is licensed under the GNU General Public License, version 3."
+    mit = licenses.NOTICES["MIT-text"].split()
+    rows = [
+        (1, gpl), (2, None), (3, gpl.split(" ", 1)[1]), (4, " ".join(mit[3:])), (5, gpl + " Thanks."),
+        (6, " ".join(mit[:-5])), (7, "MIT"), (8, gpl.replace("GNU", "other")), (9, " ".join(mit[6:])),
+    ]
+    found = licenses.scan(frame(spark, rows), licenses.ALL_NOTICES).collect()
+    wanted = {(1, "GPL-3.0", 1, 0, 90), (3, "GPL-3.0", 1, 0, 81), (4, "MIT-text", 1, 0, 88), (6, "MIT-text", 1, 0, 80)}
+    assert {tuple(r) for r in found if r.doc_id != 5} - wanted == set()
+    assert wanted <= {tuple(r) for r in found} and (5, "GPL-3.0", 90) in {(r[0], r[1], r[4]) for r in found}
