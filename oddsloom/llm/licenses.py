@@ -13,13 +13,14 @@ templates, their usual wordings; the best window of any of them is told.
 The MinHash values of all windows of a batch are sliding minima over its shingle hashes, so the work grows
 with the text and not with what it holds. A document shorter than a template is one window, verified as it is.
 
-Defined cases: null and empty texts match nothing; overlapping windows that match one template count as
-one passage, of which the best window is told; repeated rows match alike; an empty table gives an empty
+Defined cases: null and empty texts match nothing; windows that match one license and begin less than ``percent``
+of a width apart count as one passage, best windows first, and the best is told; repeated rows match alike; an empty table gives an empty
 table; only the named columns are read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -82,6 +83,22 @@ def _shingles(hashes: np.ndarray, words: int) -> np.ndarray:
     return rolled ^ (rolled >> np.uint64(31))
 
 
+def passages(windows: list[tuple[int, int, int]], percent: int) -> list[tuple[int, int, int]]:
+    """The best windows (first, share, width) of which none begins within ``percent`` of another's width, best first.
+
+    Best first, since windows between two notices that stand back to back may be good too, but are not better.
+    """
+    held: list[tuple[int, int]] = []
+    out = []
+    for first, share, width in sorted(windows, key=lambda w: (-w[1], -w[2], w[0])):
+        end = first + max(1, -(-percent * width // 100))
+        at = bisect_left(held, (first, end))
+        if (at == 0 or held[at - 1][1] <= first) and (at == len(held) or end <= held[at][0]):
+            held.insert(at, (first, end))
+            out.append((first, share, width))
+    return out
+
+
 def _seeds(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
 
@@ -198,14 +215,12 @@ def scan(
                         good.setdefault(key, []).append((first, share, templates.widths[t]))
                 out: list[list] = [[], [], [], [], []]
                 for (name, doc), windows in good.items():
-                    windows.sort()
-                    apart = 1 + sum(b[0] - a[0] >= a[2] for a, b in zip(windows, windows[1:]))
-                    best = max(windows, key=lambda w: (w[1], w[2], -w[0]))
+                    apart = passages(windows, how.percent)
                     out[0].append(rows.column(0)[doc].as_py())
                     out[1].append(name)
-                    out[2].append(apart)
-                    out[3].append(int(best[0] - bounds[doc]))
-                    out[4].append(best[1])
+                    out[2].append(len(apart))
+                    out[3].append(int(apart[0][0] - bounds[doc]))
+                    out[4].append(apart[0][1])
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(out, kinds)],

@@ -264,3 +264,18 @@ def test_licenses_in_documents_shorter_than_the_template(spark):
     wanted = {(1, "GPL-3.0", 1, 0, 90), (3, "GPL-3.0", 1, 0, 81), (4, "MIT-text", 1, 0, 88), (6, "MIT-text", 1, 0, 80)}
     assert {tuple(r) for r in found if r.doc_id != 5} - wanted == set()
     assert wanted <= {tuple(r) for r in found} and (5, "GPL-3.0", 90) in {(r[0], r[1], r[4]) for r in found}
+
+
+def test_license_passages_back_to_back(spark):
+    rows, wanted = [], set()
+    for i, (name, notice) in enumerate(licenses.NOTICES.items()):
+        for k, (times, between) in enumerate([(1, ""), (2, ""), (2, "and then"), (3, "so"), (30, ""), (2, "far apart " * 20)]):
+            rows.append((10 * i + k, f" {between} ".join([notice] * times)))
+            wanted.add((10 * i + k, name, times, 0, 100))
+    short = licenses.NOTICES["BSD"].rsplit(" ", 1)[0]
+    rows.append((900, f"{short} {licenses.NOTICES['BSD']} {short}"))
+    wanted.add((900, "BSD", 3, 20, 100))
+    rows.append((901, "All rights reserved. Licensed under the MIT License. Under the terms of the MIT License."))
+    wanted |= {(901, "proprietary", 1, 0, 100), (901, "MIT", 2, 11, 100)}
+    found = {tuple(r) for r in licenses.scan(frame(spark, rows), licenses.ALL_NOTICES).collect()}
+    assert {w[:3] for w in wanted} <= {f[:3] for f in found} and len({w for w in wanted if w[0] < 900} - found) == 0
