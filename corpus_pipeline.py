@@ -4,7 +4,7 @@ Each stage takes what its predecessor kept, written as Parquet. Every stage but
 of ``documents``.
 
 Defined cases: those of the operators. A row with a null id stays in the near-duplicate stage (it cannot be
-named as a copy); of equal rows one stays; an empty table passes through all stages.
+named as a copy); of equal rows one stays; rows of one id and different texts are told apart; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -35,17 +35,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of five-word shingles at 0.8 or more."""
-    classes = materialize(jaccard.similarity_classes(docs), "classes-of-documents")
+    # A row's key: its id and text as one hash of 64 bits, for an id may stand on rows of different texts.
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed = docs.withColumns({"row_key": key})
+    classes = materialize(jaccard.similarity_classes(keyed, doc_id="row_key"), "classes-of-documents")
+    classes = classes.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component"))
 
     def ids(found: DataFrame) -> DataFrame:
         found = materialize(found, "document-ids")
         return F.broadcast(found) if found.count() <= BROADCAST_IDS else found
 
-    copies = ids(classes.filter("doc_id != component_id").select("doc_id").distinct())
-    kept = docs.join(copies, "doc_id", "left_anti")
-    again = ids(classes.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)
+    # Classes of several keys: the smallest key names the class, the smallest id of its rows stays.
+    others = classes.filter("row_key != component").distinct()
+    members = ids(others.union(others.select("component", "component").distinct()))
+    least = (
+        keyed.select("row_key", F.col("doc_id").cast("long").alias("id"))
+        .join(members, "row_key")
+        .groupBy("component")
+        .agg(F.min(F.struct("id", "row_key")).alias("least"))
+        .select(F.col("least.row_key").alias("row_key"))
+    )
+    copies = ids(members.select("row_key").join(ids(least), "row_key", "left_anti"))
+    kept = keyed.join(copies, "row_key", "left_anti")
+    again = ids(classes.groupBy("row_key").count().filter("count > 1 and row_key is not null").select("row_key"))
+    repeated = kept.join(again, "row_key", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "row_key", "left_anti").unionByName(repeated).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,16 @@ def test_pipeline_edges(spark):
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0) == bool(ids)
 
 
+def test_one_id_with_two_texts(spark):
+    """No row goes but for a row of its class that stays."""
+    a, b, c = (" ".join(f"{name}{i}" for i in range(40)) for name in ("first", "second", "third"))
+    rows = [(3, a), (5, a), (5, b), (7, b + " end"), (8, c), (8, c), (8, a), (None, b), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_note string")
+    found = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    wanted = [(3, a), (5, b), (8, c), (None, b), (9, None), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(wanted, key=str)
+
+
 def test_packing_query_is_whole(spark):
     rows = LLM_CATALOG["op9_packing"][0](spark, SF).collect()
     texts = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
