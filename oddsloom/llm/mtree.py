@@ -9,13 +9,14 @@ to the routing vector of its own page; a leaf entry holds a vector and that same
 A search keeps pages in a queue by the best score they can hold. Before an entry's distance is computed, the
 stored ones bound it: ``|d(q, parent) - d(entry, parent)|`` less the radius. Entries that cannot reach the k-th
 best score so far are passed over; the search ends when the queue's head cannot. Scores are integers and
-exact; bounds are widened by a part in 10^9 against rounding.
+exact: vectors with a squared norm of 2^52 or more stay out of the tree and are scored one by one in Python's
+integers, as is everything for such a query. A score beyond 64 bits raises an error. Bounds are widened by a part in 10^9 against rounding.
 
 Queries meet trees in blocks: a row is a tree and a block of queries. Each gives k candidates a query, merged
 by a window.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor does
-a vector of another length than the query; null ids take no part; ties go to the smaller id; repeated ids
+a vector of another length than the query; a component whose 256-fold does not fit a bigint raises an error; null ids take no part; ties go to the smaller id; repeated ids
 are kept apart from the query of that id, which never finds itself; fewer than k others give all of them; an
 empty table gives an empty table; only the named columns are read.
 """
@@ -36,6 +37,8 @@ from oddsloom.session import materialize
 TREE_ROWS = 8192
 BLOCK_ROWS = 1024
 PAGE = 512
+#: Doubles hold inner products of vectors with smaller squared norms exactly.
+EXACT = 2**52
 
 
 @dataclass
@@ -59,10 +62,17 @@ class MTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, page: int = PAGE):
         self.page = page
         order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], rows[order].astype(np.float64)
+        ids, exact = ids[order], rows[order]
+        rows = exact.astype(np.float64)
         norms = np.einsum("ij,ij->i", rows, rows)
-        if norms.max() >= 2**52:
-            raise ValueError("squared norms must stay below 2**52")
+        # What doubles do not hold exactly is kept as it came; ``whole`` has all rows, for queries of that kind.
+        self.whole = (ids, exact)
+        wide = norms >= EXACT
+        self.wide = (ids[wide], exact[wide])
+        ids, rows, norms = ids[~wide], rows[~wide], norms[~wide]
+        self.root = None
+        if not len(ids):
+            return
         self.limit = norms.max()
         points = np.concatenate([rows, np.sqrt(self.limit - norms)[:, None]], axis=1)
         self.root = self._load(ids, rows, points, points.mean(axis=0))
@@ -91,7 +101,25 @@ class MTree:
 
     def search(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best, best first; ids equal to ``own_id`` are passed over."""
-        query = query.astype(np.float64)
+        asked = query.astype(np.float64)
+        if asked @ asked >= EXACT:
+            return self._one_by_one(*self.whole, query, own_id, k)
+        found = self._one_by_one(*self.wide, query, own_id, k)
+        if self.root is not None:
+            found = sorted(found + self._best_first(asked, own_id, k), key=lambda f: (-f[0], f[1]))[:k]
+        return found
+
+    @staticmethod
+    def _one_by_one(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
+        """The same by Python's integers."""
+        parts = query.tolist()
+        scored = (
+            (sum(a * b for a, b in zip(row.tolist(), parts)), vec) for vec, row in zip(ids.tolist(), rows) if vec != own_id
+        )
+        return heapq.nsmallest(k, scored, key=lambda f: (-f[0], f[1]))
+
+    def _best_first(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
+        """The same over the tree, for a query that doubles hold."""
         point = np.append(query, 0.0)
         whole = float(query @ query) + self.limit
         slack = 1e-9 * whole + 1e-6
@@ -143,14 +171,22 @@ class MTree:
 
 
 def quantized(embedding: Column) -> Column:
-    """floor(256 * x) of each component; null for a vector that takes no part."""
-    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * 256))
-    # A double that is not finite fails the comparison or is null.
+    """floor(256 * x) of each component; null for a vector that takes no part.
+
+    A finite component whose result does not fit a bigint raises an error.
+    """
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * 256
+        fits = (scaled >= F.lit(-(2.0**63))) & (scaled < F.lit(2.0**63))
+        return F.when(fits, F.floor(scaled)).otherwise(F.raise_error(F.lit("a component does not fit a bigint")))
+
+    # A double that is not finite fails the comparison (NaN is the largest) or is null.
     good = (F.size(embedding) > 0) & F.forall(
         embedding,
-        lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float(2**40)), F.lit(False)),
+        lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)),
     )
-    return F.when(F.coalesce(good, F.lit(False)), whole)
+    return F.when(F.coalesce(good, F.lit(False)), F.transform(embedding, whole))
 
 
 def top_k(

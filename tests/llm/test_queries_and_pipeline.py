@@ -97,6 +97,27 @@ def test_vectors_that_take_no_part(spark):
     assert found[0] == [128, -1] and all(found[i] is None for i in range(1, 6))
 
 
+def test_large_components_take_part(spark):
+    frame = spark.createDataFrame([(0, [2.0**41, 1.0]), (1, [3.0e38, 1.0])], "vec_id long, embedding array<float>")
+    found = frame.filter("vec_id = 0").select(mtree.quantized(frame.embedding)).first()
+    assert found[0] == [2**49, 256]
+    with pytest.raises(Exception, match="does not fit"):
+        frame.select(mtree.quantized(frame.embedding)).collect()
+
+
+def test_exact_search_beyond_doubles(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.randint(-(2**30), 2**30) if i % 3 else rng.randint(-9, 9) for _ in range(4)]) for i in range(200)]
+    rows += [(1000, [2**30, 1, 0, 0]), (1001, [2**30, 2, 0, 0]), (1002, [2**30, 3, 0, 0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = defaultdict(list)
+    for r in sorted(mtree.top_k(vectors, vectors, 5, tree_rows=60).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.score, r.vec_id))
+    for key, query in rows:
+        scores = sorted((-sum(x * y for x, y in zip(query, v)), i) for i, v in rows if i != key)
+        assert got[key] == [(-s, i) for s, i in scores[:5]]
+
+
 def brute_pipeline(spark, docs):
     """The stages' decisions, from the operators' tested parts and plain Python."""
     kept = [r for r in quality.quality_rules(docs).collect() if r.kept]
