@@ -12,8 +12,9 @@ its best path, and by how much its second path is worse. For the n best paths of
 the smallest such loss can matter, for each of them alone already gives n - 1 paths that are no worse than any
 path that changes another unit. So A* runs on these units, and their lists are merged.
 
-Scores are whole numbers and sums are exact. A character that no piece covers is spelt in byte pieces, at the
-lowest score less 10.
+Scores are counted in the largest power of two of which every piece's score is a multiple (1 for a model of whole
+scores), so sums are exact for log probabilities too. A character that no piece covers is spelt in byte pieces,
+at the lowest score less 10.
 
 Defined cases: null and empty texts have one segmentation, the empty one; texts with fewer segmentations
 than n give those; ties go to the longer last piece, then to the earlier unit; repeated rows get equal
@@ -56,6 +57,9 @@ class Lattice:
         lowest = 0
         self.byte_ids = [0] * 256
         self.raw: list[bytes] = []
+        scores = [model.get_score(i) for i in range(model.vocab_size())]
+        #: Scores are counted in parts of 1 / scale.
+        self.scale = max(score.as_integer_ratio()[1] for score in scores)
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -65,16 +69,16 @@ class Lattice:
                 self.raw.append(b"")
             else:
                 self.raw.append(piece.replace(MARK, " ").encode())
-                score = round(model.get_score(i))
+                score = int(scores[i] * self.scale)
                 node = self.trie
                 for character in piece:
                     node = node.setdefault(character, {})
                 node[""] = (score, (i,))
-                if score > -(10**8):
+                if scores[i] > -(10**8):
                     lowest = min(lowest, score)
                 if len(UNIT.findall(piece.replace(MARK, " "))) != 1:
                     raise ValueError(f"piece {piece!r} spans units")
-        self.unknown = lowest - 10
+        self.unknown = lowest - 10 * self.scale
         self.units: dict[str, tuple[bytes, int, int]] = {}
 
     def edges(self, unit: str) -> list[tuple]:
@@ -235,7 +239,7 @@ def segment(
 ) -> DataFrame:
     """doc_id, rank (from 1), score, n_pieces, ids_crc32 and round_trip of the n best segmentations.
 
-    ``round_trip`` tells whether the best one's ids decode to the text; ``with_ids`` adds the ids themselves.
+    ``score`` is in the units of ``Lattice``, whole numbers for a model of whole scores. ``round_trip`` tells whether the best one's ids decode to the text; ``with_ids`` adds the ids themselves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

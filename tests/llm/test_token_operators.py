@@ -207,3 +207,28 @@ def test_segmentation_query_shape(spark):
     assert len(best) == len(CASES) and all(r.round_trip for r in best)
     assert all(r.n_pieces == 0 for r in best if r.doc_id in (1, 2))
     assert nbest.segment(frame(spark, []), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_scores_that_are_not_whole(monkeypatch):
+    import sentencepiece
+
+    pieces = {"▁": -0.5, "a": -3.4, "b": -2.6, "ab": -6.25, "▁a": -3.7}
+
+    class Model:
+        def __init__(self, model_file):
+            pass
+
+        vocab_size = staticmethod(lambda: len(pieces))
+        id_to_piece = staticmethod(lambda i: list(pieces)[i])
+        get_score = staticmethod(lambda i: float(np.float32(list(pieces.values())[i])))
+        is_byte = is_control = is_unknown = is_unused = staticmethod(lambda i: False)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    made = nbest.Lattice("unigram")
+    found = [(score / made.scale, np.frombuffer(ids, "<u4").tolist()) for score, ids in made.encode("ab", 3)]
+    assert [ids for _, ids in found] == [[4, 2], [0, 1, 2], [0, 3]]
+    assert [score for score, _ in found] == pytest.approx([-6.3, -6.5, -6.75], abs=1e-6)
+
+
+def test_whole_scores_keep_their_units(lattice):
+    assert lattice.scale == 1
