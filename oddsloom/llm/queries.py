@@ -9,7 +9,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.llm import chat, jaccard, langid, licenses, mtree, nbest, packing, quality, sharding, token_files
+from oddsloom.llm import (
+    chat,
+    divergence,
+    jaccard,
+    langid,
+    licenses,
+    mtree,
+    nbest,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    token_files,
+    whitening,
+)
 from oddsloom.session import apply_engine_conf, stage_path
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +138,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     return nbest.segment(table(spark, sf_dir, "documents"), model)
+
+
+@register("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"), model)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
+@register("op13_source_divergence", divergence.QUERY_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))

@@ -26,7 +26,7 @@ def test_query_against_sql(spark, name):
     assert check_oracles.table(rows, frame.columns) == check_oracles.table(result.fetchall(), names)
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_one_query_for_each_operator(number):
     assert len([n for n in LLM_CATALOG if n.startswith(f"op{number}_")]) == 1
 
