@@ -32,7 +32,8 @@ from oddsloom.session import materialize
 
 #: Terms are runs of these bytes (ASCII letters in lower case and all that is not ASCII); others become spaces.
 FOLDED = bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-HELD_TERMS = 400_000
+BATCH_ROWS = 1000
+HELD_TERMS = 250_000
 HELD_BYTES = 64 << 20
 HELD_COUNTS = 1 << 20
 SHARD_TERMS = 1 << 18
@@ -84,7 +85,8 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, least_docs: int = 30) -> DataFrame:
     """lang, ordinal, term: the kept terms, numbered in the order of their bytes within each language."""
-    kept = document_counts(docs).filter(F.col("docs") >= least_docs)
+    # Written first: a range partitioning reads its input twice.
+    kept = materialize(document_counts(docs).filter(F.col("docs") >= least_docs), "kept-terms")
     placed = materialize(
         kept.repartitionByRange("lang", "term")
         .sortWithinPartitions("lang", "term")
@@ -287,6 +289,8 @@ def audit(
     load_bytes: int = LOAD_BYTES,
 ) -> DataFrame:
     """lang, source, part, item, value, rank."""
+    # Whole texts can be long; the usual 10000 rows of a batch would be held four times on their way to a task.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = _grouped(docs, text, lang, source)
     terms = vocabulary(rows, least_docs)
     counts = materialize(recount(rows, transducers(terms, shard_terms), shard_terms, load_bytes), "recount")
