@@ -1,26 +1,19 @@
-"""Probabilistic minutes model on MLlib: availability classifier and a quantile forest.
-
-MLlib has no quantile loss. A regression forest partitions the feature space; the wanted
-quantiles of the training minutes in each leaf, averaged over the trees, are the forecast. The
-leaf table is an aggregation of trees times leaves rows (a parameter, not the data, sets their number), folded
-to one row of maps, which every task gets: reading the leaves needs no shuffle.
-"""
+"""Probabilistic minutes model: an MLlib availability classifier and boosted quantiles of the minutes."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.functions import names, odds
+from oddsloom.operators import exact_quantiles, quantile_boost
 from oddsloom.operators.minutes import FEATURES, confidence, quality_flags
-from oddsloom.session import materialize
+from oddsloom.session import discard, stage_path
 
 QUANTILES = (0.1, 0.5, 0.9)
 
@@ -30,9 +23,8 @@ class ModelSettings:
     classifier_rounds: int = 250
     classifier_depth: int = 4
     learning_rate: float = 0.05
-    forest_trees: int = 20
-    forest_depth: int = 5
     min_leaf: int = 20
+    boost: quantile_boost.BoostSettings = quantile_boost.BoostSettings()
     seed: int = 7
     min_classifier_rows: int = 10
     min_quantile_rows: int = 25
@@ -44,35 +36,37 @@ class ModelSettings:
 class MinutesModel:
     """Fitted parts; constants stand in where the training data were too few."""
 
-    features: PipelineModel
-    classifier: object | None
+    fills: dict[str, float]
+    classifier: GBTClassificationModel | None
     active_rate: float
-    forest: object | None
-    leaves: DataFrame | None
+    boosted: quantile_boost.QuantileTrees | None
     constants: tuple[float, float, float]
     halfwidth: float
 
 
-def _inputs() -> list[str]:
-    return [f"in_{c}" for c in FEATURES]
+FILLED = tuple(f"f_{c}" for c in FEATURES)
+
+
+def _filled(rows: DataFrame, fills: dict[str, float]) -> DataFrame:
+    """Adds each feature as a number, missing ones at their training median."""
+    return rows.withColumns(
+        {f: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(fills[c])) for f, c in zip(FILLED, FEATURES)}
+    )
 
 
-def _as_doubles(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({f"in_{c}": F.col(c).cast("double") for c in FEATURES})
+def _vectors(filled: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FILLED), outputCol="features").transform(filled)
 
 
 def train(rows: DataFrame, settings: ModelSettings = ModelSettings()) -> MinutesModel:
     """Fits on feature rows with ``active_target`` and ``actual_minutes``."""
-    filled = [f"f_{c}" for c in FEATURES]
-    prepared = _as_doubles(rows)
-    features = Pipeline(
-        stages=[
-            Imputer(strategy="median", inputCols=_inputs(), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="features"),
-        ]
-    ).fit(prepared)
-    # Boosting reads the rows once per round.
-    data = features.transform(prepared).select("features", "active_target", "actual_minutes").persist()
+    spark = rows.sparkSession
+    fills = {r["column"]: r["median"] or 0.0 for r in exact_quantiles.medians(rows, FEATURES).collect()}
+    # Boosting reads the rows once per level: they are written without what it does not need.
+    path = stage_path(spark, "training-rows")
+    prepared = _filled(rows, fills).select(*FILLED, "active_target", "actual_minutes")
+    prepared.write.parquet(path)
+    data = spark.read.schema(prepared.schema).parquet(path)
     active = data.where("active_target = 1")
     # Quantiles over counts per minute value: minutes are few, rows are many.
     counts = active.groupBy("actual_minutes").agg(F.count(F.lit(1)).alias("n"))
@@ -84,72 +78,36 @@ def train(rows: DataFrame, settings: ModelSettings = ModelSettings()) -> Minutes
     n, n_active = facts["n"], facts["n_active"]
     classifier = None
     if n >= settings.min_classifier_rows and 0 < n_active < n:
+        vectors = _vectors(data).select("features", "active_target").persist()
         classifier = GBTClassifier(
             featuresCol="features", labelCol="active_target", maxDepth=settings.classifier_depth,
             maxIter=settings.classifier_rounds, stepSize=settings.learning_rate,
             minInstancesPerNode=settings.min_leaf, seed=settings.seed,
-        ).fit(data)
-    forest, leaves, halfwidth = None, None, 4.0
+        ).fit(vectors)
+        vectors.unpersist()
+    boosted, halfwidth = None, 4.0
     if n_active >= settings.min_quantile_rows:
-        forest = RandomForestRegressor(
-            featuresCol="features", labelCol="actual_minutes", numTrees=settings.forest_trees,
-            maxDepth=settings.forest_depth, minInstancesPerNode=settings.min_leaf,
-            seed=settings.seed, leafCol="leaf",
-        ).fit(active)
-        leaves = materialize(_leaf_table(forest.transform(active)), "minutes-leaves")
+        boosted = quantile_boost.fit(active, FILLED, "actual_minutes", QUANTILES, settings.boost)
     constants = tuple(quantiles) if quantiles else (24.0, 24.0, 24.0)
-    model = MinutesModel(
-        features, classifier, (n_active / n) if n else 0.95, forest, leaves, constants, halfwidth
-    )
+    model = MinutesModel(fills, classifier, (n_active / n) if n else 0.95, boosted, constants, halfwidth)
     if n_active >= settings.min_conformal_rows:
         # Thousandths of a minute up to 48: the number of distinct residuals is bounded.
         residual = F.round(F.abs(F.col("actual_minutes") - F.col("q")[1]), 3)
         level = max(0.5, min(0.995, settings.conformal_quantile))
         counts = (
-            _quantiles(model, rows.where("active_target = 1"))
-            .groupBy(residual.alias("residual"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            _quantiles(model, active).groupBy(residual.alias("residual")).agg(F.count(F.lit(1)).alias("n"))
         )
         width = counts.agg(F.percentile("residual", level, F.col("n"))).first()[0]
         halfwidth = max(1.0, min(20.0, width)) if width is not None else 4.0
-    data.unpersist()
-    return MinutesModel(
-        features, classifier, model.active_rate, forest, leaves, constants, round(halfwidth, 6)
-    )
+    discard(spark, path)
+    return MinutesModel(fills, classifier, model.active_rate, boosted, constants, round(halfwidth, 6))
 
 
-def _leaf_table(scored: DataFrame) -> DataFrame:
-    """One row: by tree, by leaf, the quantiles of the minutes of the rows that fall into it."""
-    by_leaf = (
-        scored.select("actual_minutes", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_id"))
-        .withColumn("leaf_id", F.col("leaf_id").cast("int"))
-        .groupBy("tree", "leaf_id", "actual_minutes")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("tree", "leaf_id")
-        .agg(F.percentile("actual_minutes", list(QUANTILES), F.col("n")).alias("q"))
-    )
-    by_tree = by_leaf.groupBy("tree").agg(
-        F.map_from_entries(F.collect_list(F.struct("leaf_id", "q"))).alias("leaves")
-    )
-    return by_tree.agg(F.map_from_entries(F.collect_list(F.struct("tree", "leaves"))).alias("trees"))
-
-
-def _quantiles(model: MinutesModel, rows: DataFrame) -> DataFrame:
+def _quantiles(model: MinutesModel, filled: DataFrame) -> DataFrame:
     """Rows with the sorted array ``q`` of raw quantiles."""
-    if model.forest is None:
-        return rows.withColumn("q", F.array(*[F.lit(float(c)) for c in sorted(model.constants)]))
-    scored = model.forest.transform(model.features.transform(_as_doubles(rows)))
-    read = F.transform(
-        vector_to_array("leaf"),
-        lambda leaf, tree: F.try_element_at(F.try_element_at(F.col("trees"), tree), leaf.cast("int")),
-    )
-    found = scored.crossJoin(F.broadcast(model.leaves)).withColumn("by_tree", F.filter(read, lambda q: q.isNotNull()))
-
-    def mean(i: int):
-        total = F.aggregate(F.transform("by_tree", lambda q: q[i]), F.lit(0.0), lambda a, x: a + x)
-        return total / F.size("by_tree")
-
-    return found.withColumn("q", F.array_sort(F.array(*[mean(i) for i in range(3)]))).select(*rows.columns, "q")
+    if model.boosted is None:
+        return filled.withColumn("q", F.array(*[F.lit(float(c)) for c in sorted(model.constants)]))
+    return quantile_boost.predict(model.boosted, filled)
 
 
 def predict(
@@ -161,11 +119,11 @@ def predict(
     The interval is at least the conformal half-width around the median, inside 0..48.
     ``players`` maps player_id to player_name.
     """
-    scored = _quantiles(model, rows)
+    scored = _quantiles(model, _filled(rows, model.fills))
     if model.classifier is None:
         active = scored.withColumn("p_active", F.lit(float(model.active_rate)))
     else:
-        vector = model.classifier.transform(model.features.transform(_as_doubles(scored)))
+        vector = model.classifier.transform(_vectors(scored))
         active = vector.withColumn("p_active", vector_to_array("probability")[1])
     low, mid, high = F.col("q")[0], F.col("q")[1], F.col("q")[2]
     half = F.greatest(mid - low, high - mid, F.lit(float(model.halfwidth)))

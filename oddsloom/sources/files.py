@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,18 +64,38 @@ def write_clean(df: DataFrame, root: str, table: str, overwrite: bool) -> bool:
     return overwrite
 
 
-def write_days(df: DataFrame, path: str, overwrite: bool) -> None:
-    """Writes day partitions; days that exist already are an error unless they may be replaced."""
+def _matches(spark: SparkSession, pattern: str) -> list:
+    """Status of the files and folders that match a path pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return list(found or [])
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    return bool(_matches(spark, pattern))
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column, from the folders of a table and not from its rows."""
+    names = (status.getPath().getName() for status in _matches(spark, f"{path}/{column}=*"))
+    return sorted(unquote(name.split("=", 1)[1]) for name in names)
+
+
+def write_days(df: DataFrame, path: str, overwrite: bool, files_per_day: int = 8) -> None:
+    """Writes day partitions; days that exist already are an error unless they may be replaced.
+
+    A day is dealt to ``files_per_day`` tasks by a hash of its rows, so a large one is not one task's work.
+    """
     spark = df.sparkSession
-    writer = df.repartition("day").write.partitionBy("day").option("compression", "zstd")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_day))
+    writer = df.repartition("day", part).write.partitionBy("day").option("compression", "zstd")
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
         return
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        there = spark.read.parquet(path).select(F.col("day").cast("string").alias("day")).distinct()
-        again = df.select(F.col("day").cast("string").alias("day")).distinct().join(there, "day", "left_semi")
-        clash = [row["day"] for row in again.limit(5).collect()]
+    there = partition_values(spark, path, "day")
+    if there:
+        days = df.select(F.col("day").cast("string").alias("day")).where(F.col("day").isin(*there)).distinct()
+        clash = [row["day"] for row in days.orderBy("day").limit(5).collect()]
         if clash:
             raise FileExistsError(f"{path} already exists for {', '.join(clash)}")
     writer.mode("append").parquet(path)
