@@ -8,8 +8,8 @@ margin is the gap between the smallest and the next size, relative to the next;
 or without any letter, is rejected.
 
 Fitting reads a bounded sample: for each language the ``sample_docs`` rows with the smallest hash, of which
-whole texts are taken while they fit in ``dictionary_bytes``. Bounds are parameters; languages are labels,
-and their number does not grow with the corpus.
+texts are taken until ``dictionary_bytes`` are full; of the text that fills them the beginning. Bounds are
+parameters and hold for learning alone; languages are labels, and their number does not grow with the corpus.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; equal sizes go to the language that
 sorts first, with score 0; with no labelled row every text is ``und``; with one language it wins with
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,12 +31,20 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 
 
-_BETWEEN = re.compile(r"[\W\d_]+")
+@lru_cache(maxsize=1)
+def _between() -> re.Pattern:
+    """Runs of characters that are no letters. Numbers such as one half or Roman ones count as word characters to the
+    regular expressions, so they are named."""
+    numbers = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
+    starts = [c for c, before in zip(numbers, [-2, *numbers]) if c != before + 1]
+    ends = [c for c, after in zip(numbers, [*numbers[1:], -2]) if c + 1 != after]
+    ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+    return re.compile(f"[\\W_{ranges}]+")
 
 
 def letters_only(text: str) -> str:
     """Lower-case words of letters, one space between them."""
-    return _BETWEEN.sub(" ", text.lower()).strip()
+    return _between().sub(" ", text.lower()).strip()
 
 
 @dataclass(frozen=True)
@@ -57,6 +66,8 @@ def fit(
 ) -> dict[str, bytes]:
     """Raw dictionary by language, from the rows given."""
     usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
+    # No more of a text than a dictionary holds comes to the driver.
+    start = F.substring(F.col(text), 1, how.dictionary_bytes)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))
     # Ids first: texts of the whole corpus are not sorted to choose a few.
     chosen = (
@@ -68,15 +79,14 @@ def fit(
     )
     # At most languages x sample_docs rows.
     picked = usable.select(
-        F.col(lang).alias("lang"), F.col(doc_id).alias("key"), F.col(text).alias("text")
+        F.col(lang).alias("lang"), F.col(doc_id).alias("key"), start.alias("text")
     ).join(F.broadcast(chosen), ["lang", "key"])
-    small = picked.filter(F.octet_length("text") <= how.dictionary_bytes)
     found: dict[str, bytes] = {}
-    for row in small.orderBy("lang", "rank", "text").toLocalIterator():
-        body = letters_only(row["text"]).encode()
+    for row in picked.orderBy("lang", "rank", "text").toLocalIterator():
         held = found.get(row["lang"], b"")
-        if len(held) + len(body) < how.dictionary_bytes:
-            found[row["lang"]] = held + body + b"\n"
+        body = letters_only(row["text"]).encode()
+        if body and len(held) < how.dictionary_bytes:
+            found[row["lang"]] = (held + body + b"\n")[: how.dictionary_bytes]
     return found
 
 

@@ -176,6 +176,59 @@ def test_language_edges(spark):
     assert langid.identify(frame(spark, []), labelled).count() == 0
 
 
+def language_by_hand(text, dictionaries, how=langid.Compression()):
+    """Compressed with each dictionary in turn, chunk by chunk."""
+    import zstandard
+
+    words = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()).encode()
+    names = sorted(dictionaries)
+    if not words or not names:
+        return "und", 0.0
+
+    def sizes(level):
+        out = []
+        for name in names:
+            data = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(
+                level=level, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False
+            )
+            step = how.chunk_bytes
+            out.append(sum(len(coder.compress(words[at : at + step])) for at in range(0, len(words), step)))
+        return out
+
+    for level in (how.level, how.close_level):
+        found = sizes(level)
+        best = found.index(min(found))
+        others = [size for at, size in enumerate(found) if at != best]
+        margin = 1 - found[best] / min(others) if others else 1.0
+        if margin >= how.close:
+            break
+    return names[best], margin
+
+
+def test_languages_against_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = spark.createDataFrame([(-1, "½ ² Ⅷ ①"), (-2, "½ ² Ⅷ ① und"), (-3, None), (-4, "x")], "doc_id long, text string")
+    asked = docs.select("doc_id", "text").union(own)
+    dictionaries = langid.fit(docs.filter(~langid.held_out(docs.doc_id)))
+    found = {r.doc_id: r for r in langid.predict(asked, dictionaries).collect()}
+    for row in asked.collect():
+        lang, score = language_by_hand(row.text, dictionaries)
+        assert found[row.doc_id].lang_pred == lang and abs(found[row.doc_id].score - score) < 1e-12
+    assert found[-1].lang_pred == "und" and found[-1].score == 0 and found[-2].lang_pred != "und"
+
+
+def test_language_of_long_documents_only_is_learnt(spark):
+    long = [(i, "omega sigma tau upsilon phi " * 20000, "xx") for i in range(3)]
+    short = [(10 + i, "alpha lambda kappa gamma " * 30, "aa") for i in range(9)] + [(30, "½ Ⅷ", "nn")]
+    labelled = spark.createDataFrame(long + short, "doc_id long, text string, lang string")
+    dictionaries = langid.fit(labelled)
+    assert set(dictionaries) == {"aa", "xx"}
+    assert {len(v) <= langid.Compression().dictionary_bytes for v in dictionaries.values()} == {True}
+    asked = spark.createDataFrame([(1, "sigma tau omega phi"), (2, "kappa alpha gamma")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, dictionaries).collect()} == {1: "xx", 2: "aa"}
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
