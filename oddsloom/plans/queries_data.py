@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.functions import clocks, hashing, names
-from oddsloom.operators import completeness, contracts
+from oddsloom.functions import clocks, formats, hashing, names
+from oddsloom.operators import canonical_order, completeness, contracts, exports
 from oddsloom.plans import bindings as b
 from oddsloom.plans.catalog import register
 from oddsloom.plans.oracles import CTES
@@ -528,3 +528,116 @@ def request_keys(spark, sf):
     )
 
 
+
+
+# --- canonical order ----------------------------------------------------------------------
+
+# Points of all sizes: small fractions, sums with a binary tail, none, and beyond twelve digits.
+_ODD_POINT = (
+    "case l_linenumber when 1 then cast(l_quantity as double) / 10000000 when 2 then 0.1e0 + 0.2e0 + l_suppkey when 3 then null "
+    "when 4 then cast(100000000000 as double) * l_quantity * (l_suppkey % 10 + 1) + l_partkey when 5 then cast(-1 as double) / (3 * l_suppkey + 1) else l_quantity + 10.5 end"
+)
+_ORDERED_QUOTES = {**{c: b.QUOTES[c] for c in "snapshot_id event_id player market side book price link".split()}, "point": _ODD_POINT}
+CTES["o_odd_quotes"] = f"select {b._select_list(_ORDERED_QUOTES)} from lineitem"
+
+
+@register(
+    "canonical_quote_order", "snapshot_id ordinal event_id player market point_text side book price_text link",
+    "select snapshot_id, row_number() over (partition by snapshot_id order by event_id, player, market, point_text, side, book, price_text, link) as ordinal, "
+    "event_id, player, market, point_text, side, book, price_text, link from (select *, case when point is null then '' else printf('%.12g', point::double) end as point_text, "
+    "printf('%.12g', price) as price_text from o_odd_quotes)",
+)
+def canonical_quote_order(spark, sf):
+    rows = b.table(spark, sf, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _ORDERED_QUOTES.items()])
+    rows = rows.withColumns({"point": F.col("point").cast("double"), "last_update": F.lit("")})
+    return canonical_order.with_ordinals(rows, "event_props", last=("link",)).withColumns(
+        {"point_text": formats.significant(F.col("point")), "price_text": formats.significant(F.col("price"))}
+    )
+
+
+# --- export of days -----------------------------------------------------------------------
+
+# Lines ship on a day of a snapshot; days with orders have a status. By the number of its orders a day names its
+# snapshot, none, one that is not there, or one without quotes; days with late orders are incomplete.
+_EXPORT_QUOTES = {**b.QUOTES, "snapshot_id": "concat('day-', cast(cast(l_shipdate as date) as string))", "last_update": "''"}
+_EXPORT_SNAPSHOT = (
+    "case when count(*) % 7 = 3 then ' ' when count(*) % 7 = 4 then concat('lost-', cast(max(cast(o_orderdate as date)) as string)) "
+    "when count(*) % 7 = 5 then concat('early-', cast(max(cast(o_orderdate as date)) as string)) "
+    "else concat(' day-', cast(max(cast(o_orderdate as date)) as string)) end"
+)
+_EXPORT_REQUESTS = {
+    "snapshot_id": "concat('day-', cast(cast(o_orderdate as date) as string))",
+    "label": "concat('event_odds: e', cast(o_orderkey % 10 as string))",
+    "request_key": "concat('k', cast(o_orderkey as string))",
+    "path": "concat('/events/', o_orderpriority)",
+    "status": "concat(o_orderstatus, ' ')",
+    "sport": "cast(o_custkey as string)",
+}
+CTES["o_export_quotes"] = f"select {b._select_list(_EXPORT_QUOTES)} from lineitem"
+CTES["o_export_requests"] = f"select {b._select_list(_EXPORT_REQUESTS)} from orders where o_orderpriority not like '5%' and o_orderstatus <> 'P'"
+CTES["o_export_named"] = f"select o_orderdate::date as day, trim({_EXPORT_SNAPSHOT}) as snapshot_id from orders group by 1"
+CTES["o_export_plan"] = """
+select d.day::varchar as day, n.snapshot_id, case when s.day is null then 'missing_day_status' when s.missing_count > 0 or s.error <> '' or s.note <> '' then 'incomplete_day'
+  when n.snapshot_id = '' then 'missing_snapshot_id' when n.snapshot_id like 'lost-%' then 'missing_snapshot'
+  when n.snapshot_id not in (select snapshot_id from o_export_quotes) then 'missing_event_props' end as skip
+from (select o_orderdate::date as day from orders union select l_shipdate::date from lineitem) d left join fx_day_status s using (day) left join o_export_named n using (day)"""
+
+
+def _export(spark, sf):
+    """Days asked for, their status, the snapshots there are, quotes and requests."""
+    orders, lines = b.table(spark, sf, "orders"), b.table(spark, sf, "lineitem")
+    day = F.col("o_orderdate").cast("date").alias("day")
+    named = orders.groupBy(day).agg(F.expr(_EXPORT_SNAPSHOT).alias("snapshot_id"))
+    status = completeness.canonical_status(b.day_status(spark, sf)).join(named, "day")
+    days = orders.select(day).union(lines.select(F.col("l_shipdate").cast("date"))).distinct()
+    there = named.select(F.trim("snapshot_id").alias("snapshot_id")).where("snapshot_id not like 'lost-%'")
+    quotes = lines.selectExpr(*[f"{e} as {n}" for n, e in _EXPORT_QUOTES.items()])
+    held = orders.where("o_orderpriority not like '5%' and o_orderstatus <> 'P'")
+    requests = held.selectExpr(*[f"{e} as {n}" for n, e in _EXPORT_REQUESTS.items()]).withColumns(
+        {
+            "updated_at_utc": F.lit(None).cast("string"),
+            "params": F.create_map(F.lit("regions"), F.lit("us"), F.lit("oddsFormat"), "sport"),
+        }
+    )
+    return days, status, there, quotes, requests
+
+
+@register(
+    "export_plan", "day snapshot_id skip warnings",
+    "select day, snapshot_id, skip, case when skip is null then case when snapshot_id in (select snapshot_id from o_export_requests) then '' else 'missing_manifest' end "
+    "when skip = 'incomplete_day' then '' else skip end as warnings from o_export_plan",
+)
+def export_plan(spark, sf):
+    return exports.export_plan(*_export(spark, sf))
+
+
+@register(
+    "export_facts", "day snapshot_id event_id request_key market player side point book price link skip",
+    "select p.day, q.snapshot_id, q.event_id, r.request_key, q.market, q.player, q.side, q.point, q.book, q.price, q.link, p.skip from o_export_quotes q "
+    "join o_export_plan p using (snapshot_id) left join (select snapshot_id, trim(substr(label, 12)) as event_id, min(request_key) as request_key "
+    "from o_export_requests group by 1, 2) r using (snapshot_id, event_id)",
+)
+def export_facts(spark, sf):
+    days, status, there, quotes, requests = _export(spark, sf)
+    plan = exports.export_plan(days, status, there, quotes, requests)
+    return exports.facts(quotes, plan, requests, "main")
+
+
+@register(
+    "export_requests", "day snapshot_id request_key request_label request_path request_status updated_at_utc param_regions param_odds_format param_markets",
+    "select p.day, snapshot_id, request_key, label as request_label, path as request_path, trim(status) as request_status, '' as updated_at_utc, 'us' as param_regions, "
+    "sport as param_odds_format, '' as param_markets from o_export_requests join o_export_plan p using (snapshot_id) where p.skip is null",
+)
+def export_requests(spark, sf):
+    days, status, there, quotes, requests = _export(spark, sf)
+    return exports.request_rows(requests, exports.export_plan(days, status, there, quotes, requests))
+
+
+@register(
+    "export_day_status", "dataset_id day snapshot_id day_complete day_odds_coverage_ratio day_missing_count day_total_events day_reason_code",
+    "select 'main' as dataset_id, p.day, p.snapshot_id, true as day_complete, 1.0 as day_odds_coverage_ratio, s.missing_count as day_missing_count, "
+    "s.total_events as day_total_events, 'complete' as day_reason_code from o_export_plan p join fx_day_status s on s.day = p.day::date where skip is null",
+)
+def export_day_status(spark, sf):
+    days, status, there, quotes, requests = _export(spark, sf)
+    return exports.day_rows(status, exports.export_plan(days, status, there, quotes, requests), "main")
