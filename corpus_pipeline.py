@@ -27,18 +27,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.withColumns({"n_chars": F.length("text").cast("long")}).select(docs.columns)
 
 
+def _neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same columns under names that no operator adds, and the new name of each."""
+    new = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a clear language; a missing language is filled in."""
-    found = langid.identify(docs, docs).filter(langid.accepted())
-    return found.withColumns({"lang": F.coalesce("lang", "lang_pred")}).select(docs.columns)
+    plain, new = _neutral(docs)
+    found = langid.identify(plain, plain, new["doc_id"], new["text"], new["lang"]).filter(langid.accepted())
+    filled = found.withColumns({new["lang"]: F.coalesce(new["lang"], "lang_pred")})
+    return filled.select(*new.values()).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of five-word shingles at 0.8 or more."""
+    plain, new = _neutral(docs)
+    id_, text = new["doc_id"], new["text"]
     # A row's key: its id and text as one hash of 64 bits, for an id may stand on rows of different texts.
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    keyed = docs.withColumns({"row_key": key})
-    classes = materialize(jaccard.similarity_classes(keyed, doc_id="row_key"), "classes-of-documents")
+    key = F.when(F.col(id_).isNotNull(), F.xxhash64(F.col(id_).cast("long"), text))
+    keyed = plain.withColumns({"row_key": key})
+    classes = materialize(jaccard.similarity_classes(keyed, doc_id="row_key", text=text), "classes-of-documents")
     classes = classes.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component"))
 
     def ids(found: DataFrame) -> DataFrame:
@@ -49,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = classes.filter("row_key != component").distinct()
     members = ids(others.union(others.select("component", "component").distinct()))
     least = (
-        keyed.select("row_key", F.col("doc_id").cast("long").alias("id"))
+        keyed.select("row_key", F.col(id_).cast("long").alias("id"))
         .join(members, "row_key")
         .groupBy("component")
         .agg(F.min(F.struct("id", "row_key")).alias("least"))
@@ -58,8 +68,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     copies = ids(members.select("row_key").join(ids(least), "row_key", "left_anti"))
     kept = keyed.join(copies, "row_key", "left_anti")
     again = ids(classes.groupBy("row_key").count().filter("count > 1 and row_key is not null").select("row_key"))
-    repeated = kept.join(again, "row_key", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "row_key", "left_anti").unionByName(repeated).select(docs.columns)
+    repeated = kept.join(again, "row_key", "left_semi").dropDuplicates([id_, text])
+    kept = kept.join(again, "row_key", "left_anti").unionByName(repeated)
+    return kept.select(*new.values()).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
