@@ -171,6 +171,21 @@ def test_pipeline_edges(spark):
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0) == bool(ids)
 
 
+def test_columns_of_documents_are_kept(spark):
+    """Columns whose names the operators use inside come out as they went in."""
+    text = " ".join(f"word{i} und{i % 7} so{i}." for i in range(60))
+    rows = [(i, f"{text} {'other ' * i}.", "de" if i else None, 0.875 + i, f"p{i}", 7 * i, i, "k") for i in range(3)]
+    rows.append((9, " ".join(f"wieder{i} und{i % 5} dann{i}." for i in range(60)), "de", 0.5, None, 1, 2, "r"))
+    shape = "doc_id long, text string, lang string, score double, lang_pred string, row_key int, component int, kept string"
+    docs = spark.createDataFrame(rows, shape)
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.language_id, corpus_pipeline.near_duplicates):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        given = {r[0]: r[3:] for r in rows}
+        found = out.collect()
+        assert found and all(tuple(r)[3:] == given[r.doc_id] for r in found)
+
+
 def test_one_id_with_two_texts(spark):
     """No row goes but for a row of its class that stays."""
     a, b, c = (" ".join(f"{name}{i}" for i in range(40)) for name in ("first", "second", "third"))
