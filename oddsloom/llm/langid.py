@@ -31,20 +31,22 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 
 
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def _between() -> re.Pattern:
-    """Runs of characters that are no letters. Numbers such as one half or Roman ones count as word characters to the
-    regular expressions, so they are named."""
-    numbers = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
-    starts = [c for c, before in zip(numbers, [-2, *numbers]) if c != before + 1]
-    ends = [c for c, after in zip(numbers, [*numbers[1:], -2]) if c + 1 != after]
-    ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
-    return re.compile(f"[\\W_{ranges}]+")
+def _numbers() -> frozenset[str]:
+    """Numbers such as one half or Roman ones: word characters to regular expressions, but neither letters nor digits."""
+    signs = (chr(c) for c in range(0x80, 0x110000))
+    return frozenset(c for c in signs if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def letters_only(text: str) -> str:
     """Lower-case words of letters, one space between them."""
-    return _between().sub(" ", text.lower()).strip()
+    body = _BETWEEN.sub(" ", text.lower()).strip()
+    if body.isascii() or _numbers().isdisjoint(body):
+        return body
+    return " ".join("".join(" " if c in _numbers() else c for c in body).split())
 
 
 @dataclass(frozen=True)
