@@ -463,24 +463,38 @@ def game_results(spark, sf):
 
 
 def _resource_bodies(spark, sf):
-    """Events as payloads of five shapes: list, two keys, an empty key before a filled one, and one object."""
+    """Events as payloads of nine shapes: lists under each key, empty ones, a list of the other resource's key, one object,
+    own ids, a list at the top, and no JSON."""
     item = "concat('{{\"eventnum\": \"', event_id{n}, '\", \"teamId\": \"t', user_id % 5, '\"{game}}}')"
     one, two = item.format(n="", game=""), item.format(n=" + 1", game=", \"game_id\": \"own\"")
+    blank = item.format(n=" + 2", game=", \"game_id\": null")
     body = (
-        f"case event_id % 5 when 0 then concat('[', {one}, ',', {two}, ', 3]') when 1 then concat('{{\"events\": [', {one}, ']}}') "
-        f"when 2 then concat('{{\"events\": [], \"data\": [', {one}, ',', {two}, ']}}') when 3 then concat('{{\"possessions\": [', {two}, ']}}') else {one} end"
+        f"case event_id % 9 when 0 then concat('[', {one}, ',', {two}, ', 3, [1]]') when 1 then concat('{{\"events\": [', {one}, ', 7]}}') "
+        f"when 2 then concat('{{\"events\": [], \"data\": [', {one}, ',', {two}, ']}}') when 3 then concat('{{\"possessions\": [', {two}, ']}}') "
+        f"when 4 then concat('{{\"data\": [', {blank}, ']}}') when 5 then concat('{{\"events\": \"none\", \"data\": [', {one}, ']}}') "
+        f"when 6 then concat(' ', {two}) when 7 then '7' else '{{broken' end"
     )
-    return b.table(spark, sf, "events").selectExpr("concat('g', event_id) as game_id", f"{body} as body")
+    return b.table(spark, sf, "events").selectExpr(
+        "concat('g', event_id) as game_id", f"{_RESOURCE_OF} as resource", f"{body} as body"
+    )
+
+
+_RESOURCE_OF = "case user_id % 3 when 0 then 'enhanced_pbp' when 1 then 'possessions' else 'boxscore' end"
+# Which items a body gives (0: plain, 1: own id, 2: null id); 9: the whole object, whose fields are not those of an event.
+_KINDS = """case event_id % 9 when 0 then [0, 1] when 1 then case r when 'enhanced_pbp' then [0] else [9] end
+  when 2 then case r when 'enhanced_pbp' then [] else [0, 1] end when 3 then case r when 'possessions' then [1] else [9] end
+  when 4 then [2] when 5 then [0] when 6 then [1] else [] end"""
 
 
 @register(
     "resource_rows", "game_id event_num team_id",
-    "select case when k = 1 then 'own' else 'g' || e end as game_id, cast(e + k as varchar) as event_num, t as team_id from (select event_id as e, 't' || (user_id % 5) as t, "
-    "unnest(case event_id % 5 when 0 then [0, 1] when 1 then [0] when 2 then [0, 1] when 3 then [1] else [0] end) as k from events)",
+    "select case k when 1 then 'own' when 2 then '' else 'g' || e end as game_id, case when k < 9 then cast(e + k as varchar) else '' end as event_num, "
+    f"case when k < 9 then t else '' end as team_id from (select event_id as e, 't' || (user_id % 5) as t, unnest({_KINDS}) as k from (select *, {_RESOURCE_OF} as r from events))",
 )
 def resource_rows(spark, sf):
     rows = resources.resource_rows(_resource_bodies(spark, sf))
-    return resources.aliased(rows, resources.EVENT_ALIASES, ("game_id",))
+    filled = resources.aliased(rows, resources.EVENT_ALIASES, ("game_id",))
+    return filled.na.fill("", ["event_num", "team_id"])
 
 
 @register(
@@ -496,24 +510,59 @@ def day_range(spark, sf):
     return resources.day_range(ranges)
 
 
+_OLD = resources.RequestSpec(
+    "basketball_nba", ("b", "a", "b"), "y,x", include_links=True, historical=True, anchor_hour=30
+)
+_NEW = resources.RequestSpec("basketball_nba", ("b", "a"), None, "us,eu", include_sids=True)
+
+
 @register(
-    "expected_requests", "event_id path markets bookmakers regions date",
-    "select event_id, '/sports/basketball_nba/events/' || event_id || '/odds' as path, 'a,b' as markets, 'x,y' as bookmakers, cast(null as varchar) as regions, "
-    "strftime(commence_time, '%Y-%m-%dT%H:%M:%SZ') as date from fx_context",
+    "expected_requests", "event_id path markets odds_format date_format bookmakers regions include_links include_sids date",
+    "select event_id, '/historical/sports/basketball_nba/events/' || event_id || '/odds' as path, 'a,b' as markets, 'american' as odds_format, 'iso' as date_format, "
+    "'y,x' as bookmakers, cast(null as varchar) as regions, 'true' as include_links, cast(null as varchar) as include_sids, "
+    "strftime(commence_time, '%Y-%m-%dT%H:%M:%SZ') as date from fx_context union all "
+    "select event_id, '/sports/basketball_nba/events/' || event_id || '/odds', 'a,b', 'american', 'iso', null, 'us,eu', null, 'true', null from fx_context",
 )
 def expected_requests(spark, sf):
     events = b.event_context(spark, sf).withColumn("day", F.col("commence_time").cast("date"))
-    return resources.expected_requests(events, "basketball_nba", ["b", "a", "b"], ["y", "x"])
+    return resources.expected_requests(events, _OLD).unionByName(resources.expected_requests(events, _NEW))
+
+
+# Hours between New York and UTC up to 2006: daylight time from the first Sunday of April to the last one of October, at two.
+_EASTERN = (
+    "case when {t} >= date_trunc('year', {t}) + interval 3 month + interval 1 day * ((7 - dayofweek(date_trunc('year', {t}) + interval 3 month)) % 7) + interval 2 hour "
+    "and {t} < date_trunc('year', {t}) + interval 10 month - interval 1 day * ((dayofweek(date_trunc('year', {t}) + interval 10 month) + 6) % 7 + 1) + interval 2 hour then 4 else 5 end"
+)
+
+
+def _utc(local: str) -> str:
+    return f"strftime({local} + interval 1 hour * ({_EASTERN.format(t=local)}), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@register(
+    "events_requests", "day path date_format date commence_from commence_to",
+    f"select day::varchar as day, '/historical/sports/basketball_nba/events' as path, 'iso' as date_format, {_utc('(day::timestamp + interval 23 hour)')} as date, "
+    "cast(null as varchar) as commence_from, cast(null as varchar) as commence_to from (select distinct o_orderdate::date as day from orders) union all "
+    f"select day::varchar, '/sports/basketball_nba/events', 'iso', null, {_utc('day::timestamp')}, strftime(strptime({_utc('(day::timestamp + interval 1 day)')}, "
+    "'%Y-%m-%dT%H:%M:%SZ') - interval 1 second, '%Y-%m-%dT%H:%M:%SZ') from (select distinct o_orderdate::date as day from orders)",
+)
+def events_requests(spark, sf):
+    days = b.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return resources.events_requests(days, _OLD).unionByName(resources.events_requests(days, _NEW))
+
+
+# Whole objects over several lines, lines of objects, blank lines among the first three and after, other values.
+_MIRRORS = """case event_id % 8 when 0 then '{"a": 1}' when 1 then '{"a": 1}\n\n{"b": "x"}\n' when 2 then ' \n' when 3 then '{"a": 1}\n[2]'
+  when 4 then '{\n "a": [\n 1]\n}\n' when 5 then '{"a": 1}\n{"a": 2}\n{"a": 3}\n\nbroken' when 6 then '' else '{"a": 1}\n{"b": 2}\n' end"""
 
 
 @register(
     "valid_mirrors", "path valid",
-    "select 'f' || event_id as path, event_id % 4 in (0, 1) as valid from events",
+    f"select 'f' || event_id as path, case when {_RESOURCE_OF} = 'boxscore' then event_id % 8 in (0, 4) else event_id % 8 in (0, 5, 7) end as valid from events",
 )
 def valid_mirrors(spark, sf):
-    content = F.expr(
-        "case event_id % 4 when 0 then '{\"a\": 1}' when 1 then '{\"a\": 1}\n\n{\"b\": \"x\"}\n' when 2 then ' \n' else '{\"a\": 1}\n[2]' end"
-    )
     return resources.valid_mirrors(
-        b.table(spark, sf, "events").select(F.expr("concat('f', event_id)").alias("path"), content.alias("content"))
+        b.table(spark, sf, "events").select(
+            F.expr("concat('f', event_id)").alias("path"), F.expr(_RESOURCE_OF).alias("resource"), F.expr(_MIRRORS).alias("content")
+        )
     )

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.functions import parsing
 from oddsloom.operators.rosters import first_filled
 
-EVENT_KEYS = ("events", "possessions", "data")
-BOXSCORE_KEYS = ("players", "player_stats", "rows")
+#: Under which key a payload of each resource keeps its rows; ``data`` is the other one for all.
+LIST_KEYS = {"enhanced_pbp": "events", "possessions": "possessions"}
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
-def resource_rows(payloads: DataFrame, keys: tuple[str, ...] = EVENT_KEYS) -> DataFrame:
-    """(game_id, body) payloads to (game_id, row): a list's items, or those of the first filled key, or itself.
+def _parsed(text: Column) -> Column:
+    """The one JSON value that a text holds; null otherwise. The parser stops after a value, so what follows it is
+    found by reading the text as the items of a list."""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
-    ``row`` is JSON text; a row's own ``game_id`` goes before the payload's.
+
+def resource_rows(payloads: DataFrame) -> DataFrame:
+    """(game_id, resource, body) payloads to (game_id, row), where ``row`` is JSON text of an object.
+
+    A list gives its items. An object gives those of the list under its resource's key, else of the list under
+    ``data``, else itself; an empty list is a list. Items that are no objects are dropped, and so are bodies that are no
+    JSON. A row that has a ``game_id`` keeps it, even a blank one; others get the payload's.
     """
-    body = F.trim("body")
-    items = [F.from_json(F.get_json_object(body, f"$.{key}"), "array<string>") for key in keys]
-    filled = F.coalesce(*[F.when(F.size(i) > 0, i) for i in items], F.array(body))
-    rows = payloads.select(
-        "game_id",
-        F.explode(F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(filled)).alias("row"),
-    )
-    return rows.where(F.trim("row").startswith("{")).select(
-        first_filled(F.get_json_object("row", "$.game_id"), F.col("game_id")).alias("game_id"), "row"
+    body = _parsed(F.col("body"))
+
+    def items(path: str) -> Column:
+        return F.try_variant_get(body, path, "array<variant>")
+
+    own = [F.when(F.col("resource") == name, items(f"$.{key}")) for name, key in LIST_KEYS.items()]
+    found = F.when(_is(body, "ARRAY"), items("$")).when(
+        _is(body, "OBJECT"), F.coalesce(*own, items("$.data"), F.array(body))
     )
+    rows = payloads.select("game_id", F.explode(F.filter(found, lambda v: _is(v, "OBJECT"))).alias("item"))
+    text = F.to_json("item")
+    has_own = F.array_contains(F.json_object_keys(text), "game_id")
+    own_id = F.coalesce(F.get_json_object(text, "$.game_id"), F.lit(""))
+    return rows.select(F.when(has_own, own_id).otherwise(F.col("game_id")).alias("game_id"), text.alias("row"))
 
 
 def aliased(rows: DataFrame, columns: dict[str, tuple[str, ...]], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -58,27 +76,82 @@ def day_range(ranges: DataFrame) -> DataFrame:
     return valid.withColumn("day", F.explode(F.sequence("from_day", "to_day", F.expr("interval 1 day"))))
 
 
-def expected_requests(
-    events: DataFrame, sport: str, markets: list[str], bookmakers: list[str] | None = None, regions: str = "us"
-) -> DataFrame:
-    """Request of each (day, event_id, commence_time): path, sorted markets, books or regions, as of its start."""
-    books = ",".join(sorted(set(bookmakers or [])))
+@dataclass(frozen=True)
+class RequestSpec:
+    """What a dataset asks for; books go before regions."""
+
+    sport: str
+    markets: tuple[str, ...]
+    bookmakers: str | None = None
+    regions: str | None = "us"
+    odds_format: str = "american"
+    date_format: str = "iso"
+    include_links: bool = False
+    include_sids: bool = False
+    historical: bool = False
+    anchor_hour: int = 12
+    time_zone: str = "America/New_York"
+
+
+def _text(value: str | None) -> Column:
+    return F.lit(value or None).cast("string")
+
+
+def _iso(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def expected_requests(events: DataFrame, spec: RequestSpec) -> DataFrame:
+    """Odds request of each (day, event_id, commence_time) with its parameters; null: not sent.
+
+    Markets are sorted, books stay in the order given. A historical request has its own path and a date, its start.
+    """
+    historical = "/historical" if spec.historical else ""
     return events.select(
         "day",
         "event_id",
-        F.concat(F.lit(f"/sports/{sport}/events/"), "event_id", F.lit("/odds")).alias("path"),
-        F.lit(",".join(sorted(set(markets)))).alias("markets"),
-        F.lit(books or None).cast("string").alias("bookmakers"),
-        F.lit(None if books else regions).cast("string").alias("regions"),
-        F.date_format("commence_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        F.concat(F.lit(f"{historical}/sports/{spec.sport}/events/"), "event_id", F.lit("/odds")).alias("path"),
+        F.lit(",".join(sorted(set(spec.markets)))).alias("markets"),
+        _text(spec.odds_format).alias("odds_format"),
+        _text(spec.date_format).alias("date_format"),
+        _text(spec.bookmakers).alias("bookmakers"),
+        _text(None if spec.bookmakers else spec.regions).alias("regions"),
+        _text("true" if spec.include_links else None).alias("include_links"),
+        _text("true" if spec.include_sids else None).alias("include_sids"),
+        (_iso(F.col("commence_time")) if spec.historical else _text(None)).alias("date"),
+    )
+
+
+def events_requests(days: DataFrame, spec: RequestSpec) -> DataFrame:
+    """Request for the events of each day: as of an hour of the day where it is historical, else over the day."""
+    start = F.to_utc_timestamp(F.col("day").cast("timestamp_ntz").cast("timestamp"), spec.time_zone)
+    hour = max(0, min(spec.anchor_hour, 23))
+    anchor = F.to_utc_timestamp(
+        (F.col("day").cast("timestamp_ntz") + F.expr(f"interval {hour} hour")).cast("timestamp"), spec.time_zone
+    )
+    end = F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp_ntz").cast("timestamp"), spec.time_zone)
+    historical = "/historical" if spec.historical else ""
+    return days.select(
+        "day",
+        F.lit(f"{historical}/sports/{spec.sport}/events").alias("path"),
+        _text(spec.date_format).alias("date_format"),
+        (_iso(anchor) if spec.historical else _text(None)).alias("date"),
+        (_text(None) if spec.historical else _iso(start)).alias("commence_from"),
+        (_text(None) if spec.historical else _iso(end - F.expr("interval 1 second"))).alias("commence_to"),
     )
 
 
 def valid_mirrors(files: DataFrame) -> DataFrame:
-    """Whether each mirror file (path, content) is usable: not empty, and each line an object."""
-    lines = F.filter(F.split("content", "\n"), lambda x: parsing.strip(x) != "")
-    parsed = F.forall(
-        lines,
-        lambda x: parsing.strip(x).startswith("{") & F.from_json(x, "map<string,string>").isNotNull(),
+    """Whether each mirror file (path, resource, content) is usable.
+
+    A box score is one object, however it is laid out. The others are lines: there must be one, and the first three
+    must each be an object; a blank one among them is not.
+    """
+    lines = F.split("content", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]")
+    # A break at the end starts no line.
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    first = F.forall(F.slice(lines, 1, 3), lambda x: _is(_parsed(x), "OBJECT"))
+    usable = F.when(F.col("resource") == "boxscore", _is(_parsed(F.col("content")), "OBJECT")).otherwise(
+        (F.size(lines) > 0) & first
     )
-    return files.select("path", F.coalesce((F.size(lines) > 0) & parsed, F.lit(False)).alias("valid"))
+    return files.select("path", F.coalesce((F.length("content") > 0) & usable, F.lit(False)).alias("valid"))
