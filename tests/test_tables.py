@@ -204,3 +204,77 @@ def test_day_sink_names_days_in_the_way(spark):
         files.write_days(rows, path, False)
     files.write_days(rows, path, True)
     assert spark.read.parquet(path).count() == 90
+
+
+def test_listing_index_and_discovery(spark, tmp_path):
+    import json
+
+    from oddsloom.sources import listing as listed
+
+    def put(path, text):
+        file = tmp_path / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text)
+
+    def line(game, path):
+        return json.dumps({"game_id": game, "resources": {"boxscore": {"path": path, "status": "ok"}}})
+
+    for name in ("a1", "a2", "b1", "c1", "d1"):
+        put(f"raw/{name}.json", "" if name == "d1" else "{}")
+    old = [line("a", "raw/a1.json"), line(" b ", "raw/b1.json"), "broken {", "[1]", "", line("", "raw/b1.json"), line("c", "raw/c1.json")]
+    new = [line("a", "raw/a1.json"), line("a", " raw/a2.json "), line("c", "raw/gone.json"), line("d", "raw/d1.json"), json.dumps({"game_id": "e"}), line("f", "")]
+    put("manifests/season=2023-24/season_type=regular/manifest.jsonl", "\n".join(old))
+    put("manifests/season=2024-25/season_type=regular/manifest.jsonl", "\n".join(new) + "\n")
+    put("manifests/season=2024-25/other.jsonl", line("z", "raw/a1.json"))
+    put("datasets/one/spec.json", "{}")
+    for day in ("2024-01-02", "2024-02-30", "someday", "2024-01-01"):
+        put(f"datasets/two/days/{day}.json", "{}")
+    put("datasets/two/days/2024-01-03.txt", "x")
+    put("datasets/two/days/deep/2024-01-04.json", "x")
+    put("datasets/none/readme.md", "x")
+    root = str(tmp_path)
+    files = listed.list_files(spark, root)
+    index = {r.game_id: r.path for r in listed.boxscore_index(spark, root, files).collect()}
+    # The newest line whose file is there: game c falls back to the older manifest.
+    assert index == {"a": "raw/a2.json", "b": "raw/b1.json", "c": "raw/c1.json"}
+    assert sorted(r.dataset_id for r in listed.datasets(files).collect()) == ["one", "two"]
+    days = sorted((r.dataset_id, r.day) for r in listed.dataset_days(files).collect())
+    assert days == [("two", "2024-01-01"), ("two", "2024-01-02")]
+    sizes = {r.path: r.bytes for r in files.collect()}
+    assert sizes["raw/a1.json"] == 2 and "raw/d1.json" not in sizes
+    missing = listed.list_files(spark, root + "/nowhere")
+    assert missing.count() == 0 and listed.boxscore_index(spark, root + "/nowhere", missing).count() == 0
+
+
+def test_load_takes_expected_keys_and_a_batch_once(spark, tmp_path):
+    import json
+    import shutil
+
+    from oddsloom.streaming import incremental
+
+    source, target, marks = (tmp_path / n for n in ("in", "out", "marks"))
+    source.mkdir()
+    event = {"id": "e", "bookmakers": [{"key": "b", "markets": [{"key": "m", "outcomes": [
+        {"name": side, "description": "p", "price": -110, "point": 1.5} for side in ("Over", "Under")]}]}]}
+
+    def drop(name, *keys):
+        rows = [{"provider": "feed", "snapshot_id": name, "request_key": k, "body": json.dumps(event)} for k in keys]
+        (source / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
+
+    expected = spark.createDataFrame([("s1", "k1"), ("s1", "k1"), ("s2", "k2"), ("s9", "k9")], "snapshot_id string, request_key string")
+
+    def load():
+        incremental.load_new_payloads(spark, str(source), str(target), str(marks), expected)
+        spark.catalog.refreshByPath(str(target))
+        return sorted((r.snapshot_id, r["count"]) for r in spark.read.parquet(str(target)).groupBy("snapshot_id").count().collect())
+
+    drop("s1", "k1", "k5")
+    assert load() == [("s1", 2)]
+    drop("s2", "k2")
+    drop("s3", "k2")
+    assert load() == [("s1", 2), ("s2", 2)]
+    # The last batch runs again, as after a failure before its commit: it replaces itself.
+    shutil.move(max((marks / "commits").glob("[0-9]*"), key=lambda p: int(p.name)), tmp_path / "lost-commit")
+    for crc in (marks / "commits").glob(".*.crc"):
+        shutil.move(crc, tmp_path / crc.name)
+    assert load() == [("s1", 2), ("s2", 2)]
