@@ -445,6 +445,42 @@ def last_event_context(spark, sf):
     return rosters.last_event_context(responses)
 
 
+# Responses of seven shapes: a list of events, the slate with items that name none, odds of one event, these three in the
+# wrong shape or under another label, and an event with a number for an id.
+_CONTEXT_LABEL = (
+    "case o_orderkey % 7 when 0 then 'events_list' when 1 then 'slate_odds' when 4 then 'events_list' when 5 then 'events' "
+    "else concat('event_odds:', o_orderkey % 10) end"
+)
+_CONTEXT_FIRST = (
+    "concat('{\"id\": \"e', o_orderkey % 10, '\", \"home_team\": \"h', o_orderkey, '\", \"away_team\": \"a', o_custkey, "
+    "'\", \"commence_time\": \"', cast(cast(o_orderdate as date) as string), '\"}')"
+)
+_CONTEXT_SECOND = "concat('{\"id\": \"e', (o_orderkey + 3) % 10, '\", \"home_team\": \"second', o_orderkey, '\", \"away_team\": null}')"
+_CONTEXT_BODY = (
+    f"case o_orderkey % 7 when 0 then concat('[', {_CONTEXT_FIRST}, ', ', {_CONTEXT_SECOND}, ']') when 1 then concat('[', {_CONTEXT_FIRST}, ', 5, {{\"id\": \"\"}}, [], {{}}]') "
+    f"when 2 then {_CONTEXT_FIRST} when 3 then concat('[', {_CONTEXT_FIRST}, ']') when 4 then {_CONTEXT_FIRST} when 5 then {_CONTEXT_FIRST} "
+    "else concat('{\"id\": ', 100 + o_orderkey % 10, ', \"home_team\": \"n', o_orderkey, '\"}') end"
+)
+CTES["o_named_events"] = f"""
+select {_SNAP} as snapshot_id, o_orderkey * 10 as place, case when o_orderkey % 7 < 3 then 'e' || (o_orderkey % 10) else (100 + o_orderkey % 10)::varchar end as event_id,
+  case when o_orderkey % 7 < 3 then 'h' else 'n' end || o_orderkey as home_team, case when o_orderkey % 7 < 3 then 'a' || o_custkey else '' end as away_team,
+  case when o_orderkey % 7 < 3 then o_orderdate::date::varchar else '' end as commence_time from orders where o_orderkey % 7 < 3 or o_orderkey % 7 = 6
+union all select {_SNAP}, o_orderkey * 10 + 1, 'e' || ((o_orderkey + 3) % 10), 'second' || o_orderkey, '', '' from orders where o_orderkey % 7 = 0"""
+
+
+@register(
+    "event_context_payloads", "snapshot_id event_id home_team away_team commence_time",
+    "select snapshot_id, event_id, arg_max(home_team, place) as home_team, arg_max(away_team, place) as away_team, arg_max(commence_time, place) as commence_time "
+    "from o_named_events group by 1, 2",
+)
+def event_context_payloads(spark, sf):
+    return resources.event_context(
+        b.table(spark, sf, "orders").selectExpr(
+            f"{_SNAP} as snapshot_id", "o_orderkey as request_order", f"{_CONTEXT_LABEL} as label", f"{_CONTEXT_BODY} as body"
+        )
+    )
+
+
 @register(
     "game_results", "snapshot_id game_id players error",
     "select c.snapshot_id, c.event_id as game_id, coalesce(n, 0) as players, case when n is not null then '' when cast(right(c.event_id, 1) as integer) = 3 then 'timeout' else 'boxscore_missing' end as error "

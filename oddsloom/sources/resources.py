@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.operators.rosters import first_filled
+from oddsloom.operators.rosters import first_filled, last_event_context
 
 #: Under which key a payload of each resource keeps its rows; ``data`` is the other one for all.
 LIST_KEYS = {"enhanced_pbp": "events", "possessions": "possessions"}
@@ -47,6 +47,37 @@ def resource_rows(payloads: DataFrame) -> DataFrame:
     return rows.select(F.when(has_own, own_id).otherwise(F.col("game_id")).alias("game_id"), text.alias("row"))
 
 
+#: Labels of responses that list events; those of one event's odds begin with the other one.
+EVENT_LISTS = ("events_list", "slate_odds")
+EVENT_ODDS = "event_odds:"
+
+
+def event_context(responses: DataFrame) -> DataFrame:
+    """snapshot_id, event_id, home_team, away_team and commence_time from stored responses of three kinds.
+
+    ``responses`` has snapshot_id, label, request_order and body (JSON text). Lists of events and the slate are lists, odds
+    of an event are one object; a body of another shape or label names no event, nor does an item without id. Of an
+    event's mentions the last one counts, by request and then by place in its list; absent values are ''.
+    """
+    body, label = _parsed(F.col("body")), F.col("label")
+    listed = F.try_variant_get(body, "$", "array<variant>")
+    items = F.when(label.isin(*EVENT_LISTS) & _is(body, "ARRAY"), listed).when(
+        label.startswith(EVENT_ODDS) & _is(body, "OBJECT"), F.array(body)
+    )
+    found = responses.select("snapshot_id", "request_order", F.posexplode(items).alias("place", "item"))
+
+    def field(name: str) -> Column:
+        return F.coalesce(F.try_variant_get("item", f"$.{name}", "string"), F.lit("")).alias(name)
+
+    rows = found.where(_is(F.col("item"), "OBJECT")).select(
+        "snapshot_id",
+        field("id").alias("event_id"),
+        F.struct("request_order", "place").alias("request_order"),
+        *[field(c) for c in ("home_team", "away_team", "commence_time")],
+    )
+    return last_event_context(rows)
+
+
 def aliased(rows: DataFrame, columns: dict[str, tuple[str, ...]], keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns filled from the first of their aliases (fields of the JSON text ``row``) that is not blank."""
     return rows.select(
