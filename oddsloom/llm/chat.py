@@ -115,10 +115,11 @@ def preference_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "
 def with_borrowed_replies(convs: DataFrame, block: int = 256) -> DataFrame:
     """Pairs from plain conversations: the rejected side ends in another conversation's last reply.
 
-    Conversations are taken in blocks of ``block`` ids; each borrows from the next one of its block that has a
-    reply, the last from the first. A conversation without a reply, or the only one with a reply in its block,
-    has an equal rejected side.
+    Conversations are dealt by a hash of their ids to buckets of ``block`` on average, whatever the ids are and however
+    far apart; each borrows from the next one of its bucket, by id, that has a reply, the last from the first. A
+    conversation without a reply, or the only one with a reply in its bucket, has an equal rejected side.
     """
+    buckets = max(1, -(-convs.count() // block))
     places = F.filter(
         F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull()
     )
@@ -126,7 +127,8 @@ def with_borrowed_replies(convs: DataFrame, block: int = 256) -> DataFrame:
     staged = staged.withColumns(
         {"__reply": F.when(F.col("__last") >= 0, F.get("turns", F.col("__last")))}
     )
-    in_block = Window.partitionBy(F.floor(F.col("conv_id") / block)).orderBy("conv_id")
+    bits = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 13), 16, 10).cast("long")
+    in_block = Window.partitionBy(bits % buckets).orderBy("conv_id")
     whole = in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     later = in_block.rowsBetween(1, Window.unboundedFollowing)
     borrowed = F.coalesce(
@@ -160,7 +162,9 @@ borrowed_ as (
                     over (w rows between 1 following and unbounded following),
                   first(case when last > 0 then turns[last] end ignore nulls)
                     over (w rows between unbounded preceding and unbounded following)) as reply
-  from placed window w as (partition by conv_id // 256 order by conv_id)),
+  from placed window w as (
+    partition by ('0x' || substr(md5(conv_id::varchar), 1, 13))::bigint % greatest(1, (select (count(*) + 255) // 256 from convs))
+    order by conv_id)),
 pairs as (
   select conv_id, turns as l,
          case when last > 0 and reply is not null then list_concat(turns[1:last - 1], [reply]) else turns end as r

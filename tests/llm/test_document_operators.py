@@ -1,5 +1,7 @@
 """Quality rules, sharding, similarity, languages, licenses: edge cases and brute force."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -95,6 +97,34 @@ def test_shards(spark):
     assert sharding.assign(frame(spark, []), tree).count() == 0
 
 
+def shard_by_hand(key, regions):
+    """Three weighted draws, level by level."""
+
+    def winner(children):
+        draws = []
+        for name, weight, below in children:
+            bits = int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:13], 16)
+            draws.append((-math.log((bits + 0.5) / 2**52) / weight, name, below))
+        return min(draws)[1:]
+
+    def total(rack):
+        return sum(weight for _, weight in rack)
+
+    _, (i, racks) = winner([(f"region{i}", sum(map(total, r)), (i, r)) for i, r in enumerate(regions)])
+    _, rack = winner([(f"rack{i}.{j}", total(rack), rack) for j, rack in enumerate(racks)])
+    return int(winner([(f"shard{n}", weight, n) for n, weight in rack])[0].removeprefix("shard"))
+
+
+def test_places_by_hand(spark):
+    uneven = sharding.HashTree(((((0, 1.0), (1, 2.5)), ((2, 0.5),)), (((3, 4.0), (4, 1.0), (5, 1.0)),)))
+    for tree in (uneven, sharding.HashTree.even(4, 2, 5)):
+        rows = [(i, "") for i in range(300)] + [(None, "x")]
+        for r in sharding.assign(frame(spark, rows), tree).collect():
+            key = "null" if r.doc_id is None else str(r.doc_id)
+            assert r.shard == shard_by_hand(key, tree.regions)
+            assert r.grown_shard == shard_by_hand(key, tree.grow().regions)
+
+
 def test_a_weight_moves_keys_of_its_subtree_only(spark):
     docs = frame(spark, [(i, "") for i in range(3000)])
     even = sharding.HashTree.even(3, 2, 2)

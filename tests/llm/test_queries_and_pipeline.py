@@ -68,6 +68,18 @@ def test_conversation_edges(spark):
     assert chat.conversations(turns(spark, [])).count() == 0
 
 
+def test_ids_far_apart_and_text_ids_get_pairs(spark):
+    for ids in ([10_000 * i for i in range(40)], [f"conv-{i}" for i in range(40)]):
+        kind = "long" if isinstance(ids[0], int) else "string"
+        rows = [(k, n, role, f"{role} {k}") for k in ids for n, role in enumerate(("user", "assistant"))]
+        frame = spark.createDataFrame(rows, f"conv_id {kind}, turn long, role string, text string")
+        for block, usable in ((256, 40), (8, 36)):
+            pairs = chat.with_borrowed_replies(chat.conversations(frame), block)
+            found = chat.preference_pairs(pairs).collect()
+            assert {r.conv_id for r in found} == set(ids) and sum(r.usable for r in found) >= usable
+            assert all(r.chosen_segments[1].text != r.rejected_segments[1].text for r in found if r.n_common == 1)
+
+
 def test_exact_search(spark):
     rng = random.Random(4)
     rows = [(i, [rng.randint(-20, 20) for _ in range(6)]) for i in range(700)]
