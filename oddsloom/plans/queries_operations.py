@@ -321,11 +321,13 @@ def stored_else_computed(spark, sf):
 
 @register(
     "complete_days", "day snapshot_id latest",
-    "select cast(day as varchar) as day, 'day-main-' || cast(day as varchar) as snapshot_id, (select 'day-main-' || cast(max(day) as varchar) from o_days where complete) as latest from o_days where complete",
+    "select day::varchar as day, snapshot_id, (select max(snapshot_id) from o_issue_quotes) as latest from o_issue_days where complete and snapshot_id <> ''",
 )
 def complete_days(spark, sf):
-    done = readiness.complete_days(_days(spark, sf))
-    latest = readiness.latest_snapshot(done).withColumnRenamed("snapshot_id", "latest")
+    orders = b.table(spark, sf, "orders")
+    stored = orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.expr(_STORED_SNAPSHOT).alias("snapshot_id"))
+    done = readiness.complete_days(completeness.canonical_status(b.day_status(spark, sf)).join(stored, "day"))
+    latest = readiness.latest_snapshot(b.quotes(spark, sf)).withColumnRenamed("snapshot_id", "latest")
     return done.crossJoin(F.broadcast(latest))  # one row
 
 
