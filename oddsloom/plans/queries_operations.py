@@ -334,8 +334,7 @@ def complete_days(spark, sf):
 @register(
     "backtest_readiness", "snapshot_id props_rows seed_rows featured_rows injuries_status roster_status results_status missing ready",
     f"select *, missing = '' as ready from (select snapshot_id, props_rows, seed_rows, featured_rows, injuries_status, roster_status, 'missing' as results_status, "
-    "array_to_string(list_filter([case when seed_rows = 0 then 'seed_rows' end, case when props_rows = 0 then 'props_rows' end, case when injuries_status <> 'ok' then 'injuries_status' end, "
-    "case when roster_status <> 'ok' then 'roster_status' end, 'results_status'], lambda x: x is not null), ',') as missing from (select q.snapshot_id, q.n as props_rows, coalesce(p.n, 0) as seed_rows, "
+    "case when seed_rows = 0 then 'seed_rows' else '' end as missing from (select q.snapshot_id, q.n as props_rows, coalesce(p.n, 0) as seed_rows, "
     "coalesce(s.n, 0) as featured_rows, coalesce(i.status, 'missing') as injuries_status, coalesce(r.status, 'missing') as roster_status from (select snapshot_id, count(*) as n from fx_quotes group by 1) q "
     "left join (select snapshot_id, count(*) as n from o_sel where portfolio_selected group by 1) p on p.snapshot_id = q.snapshot_id left join (select snapshot_id, count(*) as n from fx_slate group by 1) s "
     f"on s.snapshot_id = q.snapshot_id left join (select snapshot_id, case when {_DAY} % 4 = 0 then 'error' else 'ok' end as status from fx_injuries group by 1) i on i.snapshot_id = q.snapshot_id "
