@@ -19,6 +19,8 @@ from oddsloom.session import apply_engine_conf, materialize
 
 #: Ids up to this number are sent to all tasks (some 40 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +29,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.withColumns({"n_chars": F.length("text").cast("long")}).select(docs.columns)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts are long, and a batch of them is held several times on its way to a Python worker and in it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The same columns under names that no operator adds, and the new name of each."""
     new = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
@@ -35,6 +42,7 @@ def _neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a clear language; a missing language is filled in."""
+    _small_batches(spark)
     plain, new = _neutral(docs)
     found = langid.identify(plain, plain, new["doc_id"], new["text"], new["lang"]).filter(langid.accepted())
     filled = found.withColumns({new["lang"]: F.coalesce(new["lang"], "lang_pred")})
@@ -43,6 +51,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of five-word shingles at 0.8 or more."""
+    _small_batches(spark)
     plain, new = _neutral(docs)
     id_, text = new["doc_id"], new["text"]
     # A row's key: its id and text as one hash of 64 bits, for an id may stand on rows of different texts.
@@ -75,6 +84,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
