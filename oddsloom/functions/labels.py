@@ -104,6 +104,7 @@ def spread_label(home_team: Column, home_spread: Column) -> Column:
     )
 
 
+# The sentences of the report and when each applies.
 def rationale(
     player: Column, market: Column, side: Column, p_hit: Column, p_fair: Column,
     injury: Column, teammates_out: Column, spread_abs: Column, total: Column,
@@ -151,6 +152,7 @@ def rationale(
     return F.when(F.size(sentences) > 0, F.array_join(F.slice(sentences, 1, 2), " ")).otherwise(fallback)
 
 
+# The notes of the report.
 def risk_notes(injury: Column, roster: Column, spread_abs: Column, tier: Column) -> Column:
     notes = F.concat_ws(
         ", ",
