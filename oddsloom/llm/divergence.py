@@ -271,7 +271,9 @@ def distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
     found = dealt.drop("blocks", "other").groupBy("lang", "part", "a", "b").applyInArrow(
         gaps, "lang string, source string, item string, value long"
     )
-    summed = found.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    # Which of two sources comes first depends on the order of a block's rows: the blocks of a pair meet by name.
+    ends = F.least("source", "item").alias("source"), F.greatest("source", "item").alias("item")
+    summed = found.groupBy("lang", *ends).agg(F.sum("value").alias("value"))
     there = F.struct("source", "item")
     back = F.struct(F.col("item").alias("source"), F.col("source").alias("item"))
     both = summed.select("lang", "value", F.explode(F.array(there, back)).alias("pair"))

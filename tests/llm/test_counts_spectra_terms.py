@@ -239,3 +239,30 @@ def test_audit_against_hand(spark, monkeypatch, shard_terms, load_bytes, block):
     found = [tuple(r) for r in divergence.audit(docs, 12, 5, shard_terms=shard_terms, load_bytes=load_bytes).collect()]
     assert len(found) == len(set(found)) and set(found) == audit_by_hand(rows, 12, 5)
     assert divergence.audit(docs.limit(0)).count() == 0
+
+
+def test_a_pair_of_sources_is_one_row_whatever_the_order_of_a_block(spark, monkeypatch):
+    names, terms = [f"s{i:02d}" for i in range(12)], 3 * divergence.TERM_BLOCK
+    rng = random.Random(5)
+    rows = [("en", s, rng.randrange(terms), 1 + i) for i, s in enumerate(names) for _ in range(60)]
+    held = {(s, t): c for _, s, t, c in rows}
+    counts = spark.createDataFrame(
+        [("en", s, t, c) for (s, t), c in held.items()], "lang string, source string, ordinal long, occurrences long"
+    )
+    total = {n: sum(c for (s, _), c in held.items() if s == n) for n in names}
+    groups = spark.createDataFrame(
+        [("en", n, total[n], sum(total.values()), terms, len(names)) for n in names],
+        "lang string, source string, total long, lang_total long, terms long, n_sources long",
+    )
+    # On a cluster rows of a block arrive in any order: here each block has its sources in another one.
+    frame, union = type(counts), type(counts).unionByName
+    monkeypatch.setattr(frame, "unionByName", lambda *frames: union(*frames).repartition(16, "source", "part"))
+    found = [tuple(r) for r in divergence.distances(counts, groups).collect()]
+
+    def share(s, t):
+        return 1 + 10**9 * (held.get((s, t), 0) + 5) // (total[s] + 5 * terms)
+
+    shares = {n: np.array([share(n, t) for t in range(terms)]) for n in names}
+    assert sorted(found) == sorted(
+        ("en", a, b, int(np.abs(shares[a] - shares[b]).sum())) for a in names for b in names if a != b
+    )
