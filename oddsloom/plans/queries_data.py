@@ -195,7 +195,9 @@ def html_injury_rows(spark, sf):
         F.lit('</a></TD><td data-stat="note"><b>'), spoken,
         F.lit("</b> (knee &amp; foot &#8212; &#147;&#xE9;&rdquo; &x)</td></tr></table>"),
     )
-    return payloads.html_injuries(b.injuries(spark, sf).select(F.col("row_order").alias("page_id"), html.alias("html")))
+    # The table is small in bytes and its pages are made here: dealt out by row, so that all cores read pages.
+    dealt = b.injuries(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism)
+    return payloads.html_injuries(dealt.select(F.col("row_order").alias("page_id"), html.alias("html")))
 
 
 _PAGE_ROW = '<tr><th data-stat="player">A B</th><td data-stat="team_name">Utah Jazz</td><td data-stat="date_update" csk="2024-01-01">x</td><td data-stat="note">Out</td></tr>'

@@ -113,3 +113,16 @@ def test_result_player_last_row_wins(spark):
     )
     rows = payloads.result_players(spark.createDataFrame([(body,)], "body string")).collect()
     assert [(r.player, r.status) for r in rows] == [("Zed az", "INACTIVE")]
+
+
+def test_every_entity_is_found_and_cells_are_read_once(spark):
+    known = payloads._entities()
+    rows = [(f"&{name};", chars) for name, chars in known.items()]
+    rows += [("&nosuch;", "&nosuch;"), ("&;", "&;"), ("&Amp;", "&Amp;"), ("&\x01amp\x02;", "&\x01amp\x02;"), ("&#65;&#x42;&amp;c", "AB&c")]
+    read = spark.createDataFrame([(f"x{t}y", f"x{c}y") for t, c in rows], "html string, wanted string")
+    assert read.where(~payloads.plain_html(F.col("html")).eqNullSafe(F.col("wanted"))).count() == 0
+    # The filter on the cells sees their texts; before, it worked them out a second time.
+    pages = spark.createDataFrame([(1, "<tr></tr>")], "page_id long, html string")
+    plan = payloads.html_injuries(pages)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter " in line and "note" in line]
+    assert filters and not any("regexp" in line for line in filters)
