@@ -26,3 +26,17 @@ def test_only_report_gates_are_written(spark, monkeypatch):
         ("a", "s2", False, "injury_gate"),
         ("b", "s1", False, "health_gate:official_injury_missing"),
     }
+
+
+def test_raw_candidates_are_not_written(spark, monkeypatch):
+    # Twenty recipes times all columns would be many times the pricing groups that they are read from.
+    inputs = catalog.inputs(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(catalog, "_STAGES", {})
+    monkeypatch.setattr(catalog, "inputs", lambda spark, sf: inputs)
+    monkeypatch.setattr(catalog, "lines_stage", lambda spark, sf: None)
+    made = []
+    rows = spark.createDataFrame([("a", "s1", "r")], "snapshot_id string, strategy_id string, recipe string")
+    monkeypatch.setattr(strategy, "strategy_candidates", lambda *args, **named: made.append(1) or rows)
+    monkeypatch.setattr(catalog, "materialize", lambda df, label: made.append(label) or df)
+    first, second = (catalog.raw_candidates_stage(spark, "none") for _ in range(2))
+    assert made == [1] and first is second and first.columns == ["snapshot_id", "strategy_id"]
