@@ -40,3 +40,9 @@ def test_raw_candidates_are_not_written(spark, monkeypatch):
     monkeypatch.setattr(catalog, "materialize", lambda df, label: made.append(label) or df)
     first, second = (catalog.raw_candidates_stage(spark, "none") for _ in range(2))
     assert made == [1] and first is second and first.columns == ["snapshot_id", "strategy_id"]
+
+
+def test_lines_are_priced_once(spark):
+    lines = strategy.contextual_lines(catalog.inputs(spark, "/root/testdata/sf0.001"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS over_offer#") == 1
