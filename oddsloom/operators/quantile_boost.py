@@ -3,20 +3,23 @@
 MLlib has no quantile loss. Features are cut once into bins (positions among at most 255 edges, found by MLlib's
 bucketizer). The negative gradient of the pinball loss at quantile ``a`` is ``a`` above the forecast and ``a - 1``
 below it, so two whole numbers for each (quantile, node, feature, bin) - rows, and rows below the forecast - tell the gain of
-every split. One aggregation a level gives them for all quantiles at once, combined in the tasks; its result has as
+every split. One aggregation a level gives them for all quantiles at once, added up in arrays in the tasks; its result has as
 many rows as quantiles, nodes, features and bins, whatever the data, and the splits are taken on it. A leaf's value is
 the quantile of its rows' residuals, from counts per thousandth.
 
-The rows and their current forecasts are written anew every few rounds, so plans stay short and a lost executor costs
-little.
+The rows and their current forecasts are written anew every ``rounds_per_write`` rounds, so plans stay short and a lost
+executor costs little. A round reads the rows once a level, and each time works out the trees since the last write:
+writing every round is cheaper unless rows are few. The trees do not depend on it.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ class BoostSettings:
     depth: int = 3
     min_leaf: int = 20
     bins: int = 255
-    rounds_per_write: int = 10
+    rounds_per_write: int = 1
 
 
 @dataclass(frozen=True)
@@ -115,6 +118,40 @@ def _best_split(counts: np.ndarray, below: np.ndarray, min_leaf: int) -> tuple[i
     return int(at // gain.shape[1]), int(at % gain.shape[1])
 
 
+def _histogram(rows: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
+    """cell, n, below: rows, and rows below the forecast, by (quantile, node of the level, feature, bin).
+
+    ``rows`` has ``bins`` and, per quantile, ``at``: twice the node, plus one below the forecast. A task adds its
+    rows up in one array of counts; rows of quantiles times features for each row would take most of the time.
+    """
+    count, nodes, width, size = shape
+    cells = nodes * width * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, lows = np.zeros((count, cells), np.int64), np.zeros((count, cells), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins, at = (
+                batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
+                for i in range(2)
+            )
+            if bins.shape[1] != width or bins.max() >= size:
+                raise ValueError("rows to learn from have no missing features")
+            place = bins + np.arange(width) * size
+            for q in range(count):
+                cell = place + ((at[:, q] // 2 - (nodes - 1)) * (width * size))[:, None]
+                counts[q] += np.bincount(cell.ravel(), minlength=cells)
+                lows[q] += np.bincount(cell[at[:, q] % 2 == 1].ravel(), minlength=cells)
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cell), pa.array(counts.flat[cell]), pa.array(lows.flat[cell])], ["cell", "n", "below"]
+        )
+
+    parts = rows.mapInArrow(run, "cell long, n long, below long")
+    return parts.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+
+
 def fit(
     rows: DataFrame,
     features: tuple[str, ...],
@@ -162,23 +199,15 @@ def fit(
                 discard(spark, old)
             written, since = [path], []
         for level in range(settings.depth):
+            # Per quantile, the row's node and whether it lies below the forecast.
             at = with_state(
                 trees,
-                lambda q, t, f: F.struct(
-                    q.alias("q"), _node(t, level).alias("node"), (residual(f) < 0).cast("int").alias("low")
-                ),
-            )
-            hist = (
-                state.select(F.col("bins"), F.explode(at).alias("a"))
-                .select("a.*", F.posexplode("bins").alias("feature", "bin"))
-                .groupBy("q", "node", "feature", "bin")
-                .agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("below"))
-                .toArrow()
+                lambda q, t, f: 2 * _node(t, level) + F.coalesce((residual(f) < 0).cast("int"), F.lit(0)),
             )
-            q, node, feature, bin_, n, below = (hist.column(i).to_numpy() for i in range(6))
             shape = (count, 2**level, width, size)
-            cell = np.ravel_multi_index((q, node - (2**level - 1), feature, bin_), shape)
             counts, lows = np.zeros(shape), np.zeros(shape)
+            hist = _histogram(state.select("bins", at.alias("at")), shape).toArrow()
+            cell, n, below = (hist.column(i).to_numpy() for i in range(3))
             counts.flat[cell], lows.flat[cell] = n, below
             for i in range(count):
                 for j in range(2**level):

@@ -96,6 +96,30 @@ def test_boosted_quantiles_against_hand(spark):
     assert [r.q for r in again] == [r.q for r in rows]
 
 
+def test_tasks_add_up_counts_and_writes_do_not_matter(spark):
+    rng = np.random.default_rng(4)
+    bins, at = rng.integers(0, 5, (90, 3)), rng.integers(2, 6, (90, 2))  # nodes 1 and 2, as twice the node
+    rows = [([int(b) for b in r], [int(a) for a in t]) for r, t in zip(bins, at)]
+    frame = spark.createDataFrame(rows, "bins array<smallint>, at array<int>").repartition(3)
+    found = quantile_boost._histogram(frame, (2, 2, 3, 5))
+    want = {}
+    for b, a in rows:
+        for q in range(2):
+            for feature in range(3):
+                cell = ((q * 2 + a[q] // 2 - 1) * 3 + feature) * 5 + b[feature]
+                n, below = want.get(cell, (0, 0))
+                want[cell] = n + 1, below + a[q] % 2
+    assert {r.cell: (r.n, r.below) for r in found.collect()} == want
+    learnt = spark.range(400).selectExpr("id % 37 / 3d as a", "id % 11 / 7d as b", "round(id % 37 / 2d + id % 5, 2) as y")
+    trees = [
+        quantile_boost.fit(
+            learnt, ("a", "b"), "y", (0.1, 0.9), quantile_boost.BoostSettings(rounds=4, rate=0.3, rounds_per_write=n)
+        ).trees.orderBy("round", "quantile").collect()
+        for n in (1, 3)
+    ]
+    assert trees[0] == trees[1]
+
+
 def test_constant_features_and_targets(spark):
     frame = spark.createDataFrame([(1.0, 5.0)] * 60, "a double, y double")
     model = quantile_boost.fit(frame, ("a",), "y", (0.1, 0.9), quantile_boost.BoostSettings(rounds=2))
