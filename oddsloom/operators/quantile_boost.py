@@ -8,14 +8,13 @@ many rows as quantiles, nodes, features and bins, whatever the data, and the spl
 the quantile of its rows' residuals, from counts per thousandth.
 
 The rows and their current forecasts are written anew every ``rounds_per_write`` rounds, so plans stay short and a lost
-executor costs little. A round reads the rows once a level, and each time works out the trees since the last write:
-writing every round is cheaper unless rows are few. The trees do not depend on it.
+executor costs little. A round reads the rows once a level, and the tasks walk a batch of rows down the trees at once; by
+Spark's functions on arrays, which are interpreted, that would take most of the time. The trees do not depend on the writes.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,9 +76,6 @@ def with_bins(rows: DataFrame, edges: dict[str, list[float]], features: tuple[st
     return cut.withColumn("bins", F.array(*held)).drop(*outputs)
 
 
-_SHAPE = "struct<features: array<int>, cuts: array<int>, leaves: array<double>>"
-
-
 def _node(tree: Column, levels: int) -> Column:
     """Number of the node of a tree that a row reaches after so many levels."""
 
@@ -118,10 +114,87 @@ def _best_split(counts: np.ndarray, below: np.ndarray, min_leaf: int) -> tuple[i
     return int(at // gain.shape[1]), int(at % gain.shape[1])
 
 
-def _histogram(rows: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
+def _standing(since: list[list[dict]], trees: list[dict], rate: float, depth: int) -> tuple[Callable, Callable, Callable]:
+    """residuals(batch, levels), written(batches) and leaves(batches), over columns bins, y and f.
+
+    ``since`` are the trees since the forecasts f were written, ``trees`` those that grow. All is nested here, so that
+    tasks get it by value and executors need no copy of this package.
+    """
+
+    def matrix(column: pa.Array, rows: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+    def reached(bins: np.ndarray, tree: dict, levels: int) -> np.ndarray:
+        """Number of the node that each row reaches after so many levels, as :func:`_node` has it."""
+        features, cuts = np.array(tree["features"]), np.array(tree["cuts"])
+        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        for _ in range(levels):
+            node = 2 * node + 1 + (bins[rows, features[node]] > cuts[node])
+        return node
+
+    def thousandths(gap: np.ndarray) -> np.ndarray:
+        """Whole thousandths, so that a row which a forecast meets counts as met; billionths first, so that the noise
+        of sums does not decide halves. Halves go away from zero."""
+        billionths = np.floor(np.abs(gap) * 1e9 + 0.5)
+        return np.copysign(np.floor((billionths + 5e5) / 1e6), gap)
+
+    def forecasts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        bins, held = matrix(batch.column(0), batch.num_rows), matrix(batch.column(2), batch.num_rows)
+        first, total = 2**depth - 1, np.zeros(held.shape)
+        for grown in since:
+            for q, tree in enumerate(grown):
+                total[:, q] += np.array(tree["leaves"])[reached(bins, tree, depth) - first]
+        return bins, held + rate * total
+
+    def residuals(batch: pa.RecordBatch, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins, and for each quantile the row's node and its residual in thousandths."""
+        bins, forecast = forecasts(batch)
+        node = np.stack([reached(bins, tree, levels) for tree in trees], axis=1)
+        return bins, node, thousandths(batch.column(1).to_numpy(zero_copy_only=False)[:, None] - forecast)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, forecast = forecasts(batch)
+                ends = np.arange(0, forecast.size + 1, forecast.shape[1], dtype=np.int32)
+                f = pa.ListArray.from_arrays(pa.array(ends), pa.array(forecast.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), f], ["bins", "y", "f"])
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """cell, r, n: rows by (quantile, leaf) and residual."""
+        count, size = len(trees), 2**depth
+
+        def together(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            key, place = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(place, np.concatenate(n)).astype(np.int64)
+
+        keys, n, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, node, gap = residuals(batch, depth)
+            cell = node - (size - 1) + np.arange(count) * size
+            # A row without a target moves no leaf.
+            own = np.isfinite(gap)
+            keys.append(gap[own].astype(np.int64) * (count * size) + cell[own])
+            n.append(np.ones(len(keys[-1]), np.int64))
+            waiting += len(keys[-1])
+            if waiting > 1_000_000:
+                key, sums = together(keys, n)
+                keys, n, waiting = [key], [sums], 0
+        key, sums = together(keys, n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key % (count * size)), pa.array(key // (count * size)), pa.array(sums)], ["cell", "r", "n"]
+        )
+
+    return residuals, written, leaves
+
+
+def _histogram(rows: DataFrame, shape: tuple[int, int, int, int], residuals: Callable | None = None) -> DataFrame:
     """cell, n, below: rows, and rows below the forecast, by (quantile, node of the level, feature, bin).
 
-    ``rows`` has ``bins`` and, per quantile, ``at``: twice the node, plus one below the forecast. A task adds its
+    ``rows`` has ``bins`` and, per quantile, ``at``: twice the node, plus one below the forecast. With ``residuals``
+    (of :func:`_standing`) it has ``bins``, ``y`` and ``f``, and the tasks find ``at`` for a batch at a time. A task adds its
     rows up in one array of counts; rows of quantiles times features for each row would take most of the time.
     """
     count, nodes, width, size = shape
@@ -132,10 +205,14 @@ def _histogram(rows: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, at = (
-                batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
-                for i in range(2)
-            )
+            if residuals is None:
+                bins, at = (
+                    batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
+                    for i in range(2)
+                )
+            else:
+                bins, node, gap = residuals(batch, nodes.bit_length() - 1)
+                bins, at = bins.astype(np.int64), 2 * node + (gap < 0)
             if bins.shape[1] != width or bins.max() >= size:
                 raise ValueError("rows to learn from have no missing features")
             place = bins + np.arange(width) * size
@@ -173,40 +250,22 @@ def fit(
     forest: list[dict] = []
     since: list[list[dict]] = []
 
-    def with_state(trees: list[dict], each) -> Column:
-        """``each(position, tree, forecast)`` of every quantile; trees are constants, so the code stays the same."""
-        state_of = [{"tree": t, "since": [r[q] for r in since]} for q, t in enumerate(trees)]
-        kind = f"array<struct<tree: {_SHAPE}, since: array<{_SHAPE}>>>"
-        held = F.from_json(F.lit(json.dumps(state_of)), kind)
-
-        def one(s: Column, q: Column) -> Column:
-            return each(q, s["tree"], F.get("f", q) + settings.rate * _total(s["since"], settings.depth))
-
-        return F.transform(held, one)
-
-    def residual(forecast: Column) -> Column:
-        """In thousandths, so that a row which a forecast meets counts as met; billionths first, so that the noise of
-        sums does not decide halves."""
-        return F.round(F.round(F.col("y") - forecast, 9), 3)
+    def standing(trees: list[dict]) -> tuple[Callable, Callable, Callable]:
+        return _standing(since, trees, settings.rate, settings.depth)
 
     for number in range(settings.rounds):
         trees = [{"features": [0] * first_leaf, "cuts": [UNSPLIT] * first_leaf, "leaves": []} for _ in quantiles]
         if len(since) >= settings.rounds_per_write:
             path = stage_path(spark, "boost-rows")
-            state.select("bins", "y", with_state(trees, lambda q, t, f: f).alias("f")).write.parquet(path)
+            state.mapInArrow(standing(trees)[1], state.schema).write.parquet(path)
             state = spark.read.schema(state.schema).parquet(path)
             for old in written:
                 discard(spark, old)
             written, since = [path], []
         for level in range(settings.depth):
-            # Per quantile, the row's node and whether it lies below the forecast.
-            at = with_state(
-                trees,
-                lambda q, t, f: 2 * _node(t, level) + F.coalesce((residual(f) < 0).cast("int"), F.lit(0)),
-            )
             shape = (count, 2**level, width, size)
             counts, lows = np.zeros(shape), np.zeros(shape)
-            hist = _histogram(state.select("bins", at.alias("at")), shape).toArrow()
+            hist = _histogram(state, shape, standing(trees)[0]).toArrow()
             cell, n, below = (hist.column(i).to_numpy() for i in range(3))
             counts.flat[cell], lows.flat[cell] = n, below
             for i in range(count):
@@ -215,25 +274,20 @@ def fit(
                     trees[i]["features"][at_node], trees[i]["cuts"][at_node] = _best_split(
                         counts[i, j], lows[i, j], settings.min_leaf
                     )
-        at = with_state(
-            trees,
-            lambda q, t, f: F.struct(
-                q.alias("q"), _node(t, settings.depth).alias("node"), residual(f).alias("r")
-            ),
-        )
+        cells = 2**settings.depth
         leaves = (
-            state.select(F.explode(at).alias("a"))
-            .select("a.*")
-            .groupBy("q", "node", "r")
-            .count()
-            .groupBy("q", "node")
-            .agg(F.percentile("r", list(quantiles), F.col("count")).alias("v"))
+            state.mapInArrow(standing(trees)[2], "cell long, r long, n long")
+            .groupBy("cell", "r")
+            .agg(F.sum("n").alias("n"))
+            .groupBy("cell")
+            .agg(F.percentile(F.col("r") / 1000.0, list(quantiles), F.col("n")).alias("v"))
             .collect()
         )
         for tree in trees:
             tree["leaves"] = [0.0] * (first_leaf + 1)
         for row in leaves:
-            trees[row["q"]]["leaves"][row["node"] - first_leaf] = float(row["v"][row["q"]])
+            q, leaf = divmod(row["cell"], cells)
+            trees[q]["leaves"][leaf] = float(row["v"][q])
         since.append(trees)
         forest += [{"quantile": q, "round": number, **t} for q, t in enumerate(trees)]
     for old in written:

@@ -190,3 +190,22 @@ def test_day_is_built_once_by_the_newest_model(spark, frame, monkeypatch):
     assert model_store.day_predictions(spark, root, "2030-01-01", frame) is None  # no rows of that day
     with pytest.raises(ValueError):
         model_store.day_predictions(spark, root, "someday", frame)
+
+
+def test_tasks_walk_trees_as_columns_do():
+    import pyarrow as pa
+
+    tree = {"features": [0, 1, 0], "cuts": [1, 0, 2], "leaves": [0.1, 0.2, 0.3, 0.4]}
+    grown = {"features": [1, 0, 0], "cuts": [0, 1, quantile_boost.UNSPLIT], "leaves": []}
+    bins, y, f = [[0, 0], [1, 1], [2, 0], [3, 1]], [1.0, 2.0005, None, 0.15], [[1.0], [2.0], [3.0], [0.0]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(bins, pa.list_(pa.int16())), pa.array(y), pa.array(f, pa.list_(pa.float64()))], ["bins", "y", "f"]
+    )
+    residuals, written, leaves = quantile_boost._standing([[tree]], [grown], 0.5, 2)
+    (out,) = written(iter([batch]))
+    assert out.column(2).to_pylist() == [[1.05], [2.1], [3.15], [0.2]] and out.column(1).to_pylist() == y
+    _, node, gap = residuals(batch, 2)
+    assert node[:, 0].tolist() == [3, 5, 4, 5]
+    assert [g for g in gap[:, 0].tolist() if g == g] == [-50.0, -100.0, -50.0]  # -0.0995 goes away from zero
+    (cells,) = leaves(iter([batch]))
+    assert sorted(zip(*(c.to_pylist() for c in cells.columns))) == [(0, -50, 1), (2, -100, 1), (2, -50, 1)]
