@@ -74,11 +74,21 @@ def significant(number: Column, digits: int = 12) -> Column:
 
     def written(s: Column) -> Column:
         point = F.when(s["fraction"] == "", "").otherwise(".")
-        minus = F.when(F.format_string("%.1f", number).startswith("-"), "-").otherwise("")  # minus zero too
+        minus = F.when(number.cast("string").startswith("-"), "-").otherwise("")  # minus zero too
         return F.concat(minus, s["whole"], point, s["fraction"], s["exponent"])
 
     # All digits that a number needs, and zeros.
     text = F.split(F.format_string("%.16e", F.when(finite, F.abs(number))), "e")
     for step in (split, rounded, carried, placed, written):
         text = _let(text, step)
-    return F.when(number.isNull() | ~finite, "").otherwise(text)
+    # Text of no more digits that reads back as the number is what rounding gives, if digits are fewer than a
+    # double's 15. It spares most numbers the steps above.
+    plain = number.cast("double").cast("string")
+    short = ~plain.contains("E") & (F.length(plain) <= digits + 1) & F.lit(digits <= 15)
+    whole = (F.abs(number) < 10 ** min(digits, 15)) & (number % 1 == 0) & (number != 0)
+    return (
+        F.when(number.isNull() | ~finite, "")
+        .when(short, F.rtrim(F.rtrim(plain, F.lit("0")), F.lit(".")))
+        .when(whole, number.cast("bigint").cast("string"))
+        .otherwise(text)
+    )

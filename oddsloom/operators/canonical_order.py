@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddsloom.functions import formats, parsing
 from oddsloom.session import materialize
@@ -16,31 +17,51 @@ ORDER = {
 NUMBERS = ("point", "price")
 
 
-def sort_keys(table: str) -> list[Column]:
-    return [
-        formats.significant(parsing.float_or_null(F.col(c))) if c in NUMBERS else parsing.text(F.col(c))
-        for c in ORDER[table]
-    ]
+def sort_keys(table: str, schema: T.StructType | None = None) -> list[Column]:
+    """Keys of a table; with its ``schema``, columns of doubles are not read from text."""
 
+    def number(c: str) -> Column:
+        ready = schema is not None and c in schema.names and isinstance(schema[c].dataType, T.DoubleType)
+        # NaN and infinities show as missing either way.
+        return F.col(c) if ready else parsing.float_or_null(F.col(c))
 
-def canonical_sort(rows: DataFrame, table: str, first: tuple[str, ...] = (), last: tuple[str, ...] = ()) -> DataFrame:
+    return [formats.significant(number(c)) if c in NUMBERS else parsing.text(F.col(c)) for c in ORDER[table]]
+
+
+def canonical_sort(
+    rows: DataFrame,
+    table: str,
+    first: tuple[str, ...] = (),
+    last: tuple[str, ...] = (),
+    texts: dict[str, str] | None = None,
+) -> DataFrame:
     """Rows in canonical order over all partitions, by one range exchange: files written from it are in order.
 
-    ``first`` columns go before the canonical keys, ``last`` ones decide between equal keys.
+    ``first`` columns go before the canonical keys, ``last`` ones decide between equal keys; ``texts`` as in
+    :func:`with_ordinals`.
     """
     names = [f"__k{i}" for i in range(len(ORDER[table]))]
-    keyed = rows.withColumns(dict(zip(names, sort_keys(table))))
-    return keyed.orderBy(*first, *names, *last).drop(*names)
+    keyed = rows.withColumns(dict(zip(names, sort_keys(table, rows.schema))))
+    kept = {names[ORDER[table].index(number)]: name for number, name in (texts or {}).items()}
+    return keyed.orderBy(*first, *names, *last).withColumnsRenamed(kept).drop(*names)
 
 
-def with_ordinals(rows: DataFrame, table: str, group: str = "snapshot_id", last: tuple[str, ...] = ()) -> DataFrame:
+def with_ordinals(
+    rows: DataFrame,
+    table: str,
+    group: str = "snapshot_id",
+    last: tuple[str, ...] = (),
+    texts: dict[str, str] | None = None,
+) -> DataFrame:
     """Adds ``ordinal``, the place from 1 in the canonical order of its group.
 
     The sorted rows are written once; a place is the place in its partition plus the rows of the group in the
-    partitions before, so a large group is not one task's work.
+    partitions before, so a large group is not one task's work. ``texts`` names columns for the texts by which
+    numbers were ordered, by number.
     """
+    texts = texts or {}
     placed = materialize(
-        canonical_sort(rows, table, (group,), last).withColumns(
+        canonical_sort(rows, table, (group,), last, texts).withColumns(
             {"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}
         ),
         "ordered",
@@ -54,7 +75,7 @@ def with_ordinals(rows: DataFrame, table: str, group: str = "snapshot_id", last:
     )
     found = placed.join(runs, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__run")))
     ordinal = F.col("__before") + F.col("__place") - F.col("__first") + 1
-    return found.select(*rows.columns, ordinal.alias("ordinal"))
+    return found.select(*rows.columns, *texts.values(), ordinal.alias("ordinal"))
 
 
 def unordered_files(rows: DataFrame, table: str) -> DataFrame:

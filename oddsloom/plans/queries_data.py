@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.functions import clocks, formats, hashing, names
+from oddsloom.functions import clocks, hashing, names
 from oddsloom.operators import canonical_order, completeness, contracts, exports
 from oddsloom.plans import bindings as b
 from oddsloom.plans.catalog import register
@@ -552,9 +552,8 @@ CTES["o_odd_quotes"] = f"select {b._select_list(_ORDERED_QUOTES)} from lineitem"
 def canonical_quote_order(spark, sf):
     rows = b.table(spark, sf, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _ORDERED_QUOTES.items()])
     rows = rows.withColumns({"point": F.col("point").cast("double"), "last_update": F.lit("")})
-    return canonical_order.with_ordinals(rows, "event_props", last=("link",)).withColumns(
-        {"point_text": formats.significant(F.col("point")), "price_text": formats.significant(F.col("price"))}
-    )
+    texts = {"point": "point_text", "price": "price_text"}
+    return canonical_order.with_ordinals(rows, "event_props", last=("link",), texts=texts)
 
 
 # --- export of days -----------------------------------------------------------------------
